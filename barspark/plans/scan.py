@@ -134,20 +134,16 @@ def exact_quantiles(
 ) -> DataFrame:
     """Long table (keys, prob, q): linearly interpolated exact quantiles.
 
-    ``percentile`` keeps every distinct value of a group in one task, so it serves small input only;
-    otherwise the two neighbouring order statistics are found from distributed ranks.
+    ``percentile`` would keep every distinct value of a group in one task; here the two neighbouring
+    order statistics are found from distributed ranks, and equal neighbours give exactly their value.
     """
     keys = tuple(keys)
     probs = [float(p) for p in probs]
     data = df.where(F.col(value).isNotNull())
     if small is None:
         small = is_small(df)
-    if small:
-        found = data.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("prob"), F.col("_q").alias("q"))
-        return found.select(*keys, F.explode(pairs).alias("_z")).select(*keys, "_z.prob", "_z.q")
     ranked = value_scan(
-        data.select(*keys, value).withColumn("_one", F.lit(1)), value, ["_one"], keys=keys, small=False
+        data.select(*keys, value).withColumn("_one", F.lit(1)), value, ["_one"], keys=keys, small=small
     )
     totals = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked.join(totals, list(keys)) if keys else ranked.withColumn("_n", totals.scalar())
