@@ -70,7 +70,7 @@ def trade_reason(atr: Column, adx: Column, price: Column, sma: Column, rules: Re
     dist = price - sma
 
     def num(c: Column) -> Column:
-        return F.format_string("%.1f", c)
+        return F.format_string("%.1f", F.round(c, 6))
 
     parts = (
         F.when(atr < rules.min_atr, F.concat(F.lit("Low ATR ("), num(atr), F.lit(f" < {rules.min_atr})"))).otherwise(

@@ -28,6 +28,13 @@ def _long(df: DataFrame, features: Sequence[str], facts: Mapping[str, object]) -
     return wide.select(F.explode(F.array(*[f"_x{i}" for i in range(len(features))])).alias("_x")).select("_x.*")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation aggregate that is null, not an error, for a constant column."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def strength(abs_corr: Column, bands: str = "short") -> Column:
     out = None
     for name, bound in BANDS[bands]:
@@ -38,7 +45,7 @@ def strength(abs_corr: Column, bands: str = "short") -> Column:
 def corr_rank(df: DataFrame, features: Sequence[str], label: str = "label", bands: str = "short") -> DataFrame:
     """Pearson correlation of every feature with the label, its size and band, strongest first."""
     y = F.col(label).cast("double")
-    out = _long(df, features, {"corr": lambda f: F.corr(F.col(f).cast("double"), y)})
+    out = _long(df, features, {"corr": lambda f: pearson(F.col(f).cast("double"), y)})
     return (
         out.withColumn("abs_corr", F.abs("corr"))
         .withColumn("strength", strength(F.col("abs_corr"), bands))

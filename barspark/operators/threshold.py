@@ -94,7 +94,8 @@ def sweep(
     rows = daily_topk(df, cap, p=p, ts=ts, tie=tie) if cap else df
     grid = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("_t"))
     counted = (
-        rows.withColumn("_slot", place_in(F.col(p), grid.scalar()))
+        rows.withColumn("_grid", grid.scalar())
+        .withColumn("_slot", place_in(F.col(p), F.col("_grid")))
         .groupBy("_slot")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_tp"))
     )

@@ -22,8 +22,11 @@ def _trunc(col: Column, unit: str) -> Column:
     return F.date_trunc(unit, col).cast("timestamp_ntz")
 
 
-def _hit(b: Column, sl: Column, tp: Column) -> Column:
-    return (b["low"] <= sl) | (b["high"] >= tp)
+def _hits(items: Column, sl: Column, tp: Column, after: Column | None = None) -> Column:
+    """Items of a block that reach a level, optionally only those after a time."""
+    if after is None:
+        return F.filter(items, lambda b: (b["low"] <= sl) | (b["high"] >= tp))
+    return F.filter(items, lambda b: (b["ts"] > after) & ((b["low"] <= sl) | (b["high"] >= tp)))
 
 
 def first_touch(
@@ -66,7 +69,7 @@ def first_touch(
             found = found.withColumn(f"_b{i}", _trunc(F.col(ts), rungs[i]))
             on.append(f"_b{i}")
         after = F.col(ts) if i == 0 else _trunc(F.col(ts), rungs[i - 1])
-        hits = F.filter(F.col(f"_a{i}"), lambda b, after=after: (b["ts"] > after) & _hit(b, sl_c, tp_c))
+        hits = _hits(F.col(f"_a{i}"), sl_c, tp_c, after)
         found = found.join(tables[i], on, "left").withColumn(f"_h{i}", F.get(hits, F.lit(0))).drop(f"_a{i}")
     # Down: open the block that was found; resolved entries rejoin their own block and ignore it.
     where = F.col(f"_h{top}.ts")
@@ -74,7 +77,7 @@ def first_touch(
         target = F.coalesce(F.when(F.col(f"_h{i}").isNull(), where), F.col(f"_b{i}"))
         side = tables[i].withColumnRenamed(f"_b{i}", "_t")
         staged = found.withColumn("_t", target).join(side, [*keys, "_t"], "left")
-        hits = F.filter(F.col(f"_a{i}"), lambda b: _hit(b, sl_c, tp_c))
+        hits = _hits(F.col(f"_a{i}"), sl_c, tp_c)
         deeper = F.when(F.col(f"_h{i}").isNull() & where.isNotNull(), F.get(hits, F.lit(0)))
         found = staged.withColumn(f"_h{i}", F.coalesce(F.col(f"_h{i}"), deeper)).drop("_t", f"_a{i}")
         where = F.col(f"_h{i}.ts")
