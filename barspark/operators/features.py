@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barspark.functions.calendar import cyclic
 from barspark.functions.study import EPS, Study
 from barspark.operators.bars import asof_align, bucket_start, prev_day, rollup_bars
-from barspark.operators.quality import clean_features
+from barspark.operators.quality import clean_features, with_values
 from barspark.plans.chunks import Line, decide
 
 # Column order of the five-minute set.
@@ -86,7 +86,7 @@ def minimal_features(
     s.calc("tod_cos", [], lambda: cos, keep=True)
     cols = ["ret_1", "ret_5", "ret_15", "vol_20", "vol_60", "range_n", "mom_10", "mom_30", "ema_spread_n", "rsi_14", "tod_sin", "tod_cos"]
     out = s.apply(bars, keys=keys, ts=ts, chunk_rows=chunk_rows)
-    return out.select(*keys, ts, *cols).dropna(subset=cols)
+    return with_values(out.select(*keys, ts, *cols), cols)
 
 
 def m5_context(
@@ -286,9 +286,12 @@ def m5_features(
         "atr_m5_native": "atr_m5",
         "dist_sma_200": "dist_sma_200_m15",
     }
-    final = {c: F.lit(off[c]) if c in off else F.col(alias.get(c, c)) for c in columns}
-    shaped = out.select(*keys, ts, "open", "high", "low", "close", "volume", *[v.alias(c) for c, v in final.items()])
-    return clean_features(shaped, columns, "drop", keys=keys, ts=ts, chunk_rows=chunk_rows)
+    # Only computed columns are cleaned; copies and constants are added to the finished rows.
+    real = [c for c in columns if c not in off and c not in alias]
+    shaped = out.select(*keys, ts, "open", "high", "low", "close", "volume", *real)
+    done = clean_features(shaped, real, "drop", keys=keys, ts=ts, chunk_rows=chunk_rows)
+    final = [F.lit(off[c]).alias(c) if c in off else F.col(alias.get(c, c)).alias(c) for c in columns]
+    return done.select(*keys, ts, "open", "high", "low", "close", "volume", *final)
 
 
 def _context_fills(tag: str) -> dict[str, float]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -110,6 +112,15 @@ def dedup_bars(
     return bars.groupBy(*keys).agg(pick(whole).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def with_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows where every column has a value.
+
+    Written as separate IS NOT NULL terms: the single many-column term of ``dropna`` makes the
+    optimizer's constraint set double with every later renaming of one of the columns.
+    """
+    return df.where(reduce(and_, [F.col(c).isNotNull() for c in cols]))
+
+
 def clean_features(
     features: DataFrame,
     cols: Sequence[str],
@@ -126,7 +137,7 @@ def clean_features(
     real = features.withColumns({c: F.when(_finite(F.col(c).cast("double")), F.col(c)) for c in cols})
     filled = running(real, {f"_f_{c}": ("last", c) for c in cols}, keys=keys, ts=ts, chunk_rows=chunk_rows)
     out = filled.withColumns({c: F.col(f"_f_{c}") for c in cols}).drop(*[f"_f_{c}" for c in cols])
-    return out.fillna(0, subset=cols) if mode == "zero" else out.dropna(subset=cols)
+    return out.fillna(0, subset=cols) if mode == "zero" else with_values(out, cols)
 
 
 def profile(df: DataFrame, cols: Sequence[str], *, zero_var: float = 1e-10, low_var: float = 1e-3) -> DataFrame:

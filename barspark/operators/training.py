@@ -59,8 +59,11 @@ def labelled_sequences(
 ) -> tuple[DataFrame, list[str]]:
     """Sequences with label and split, before scaling; filters and cap come before any vector is built."""
     flags = flags or FeatureFlags()
-    feats = m5_features(
-        bars, fine=settings.fine, mid=settings.mid, slow=settings.slow, align=settings.align, flags=flags, rolled=rolled
+    # Narrow feature rows are written once; labels, caps and vectors all start from them.
+    feats = cut_lineage(
+        m5_features(
+            bars, fine=settings.fine, mid=settings.mid, slow=settings.slow, align=settings.align, flags=flags, rolled=rolled
+        )
     )
     cols: Sequence[str] = [c for c in M5_COLUMNS if c in feats.columns]
     labelled = barrier_label(feats, settings.sl, settings.tp, settings.min_hold, settings.horizon)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.operators.bars import OHLCV
-from barspark.operators.quality import dedup_bars, require_valid, validate_bars
+from barspark.operators.quality import dedup_bars, require_valid, validate_bars, with_values
 
 # Date layout of bar files, and the layouts tried on foreign ones, in order.
 BAR_DATE = "yyyy.MM.dd HH:mm"
@@ -164,7 +164,7 @@ def read_tab_export(spark: SparkSession, path: str, symbol: str) -> DataFrame:
         _ntz(F.trim(F.get(cells, F.lit(0))), "yyyy-MM-dd HH:mm:ss").alias("ts"),
         *[F.trim(F.get(cells, F.lit(i + 1))).try_cast("double").alias(c) for i, c in enumerate(OHLCV)],
     )
-    return picked.dropna()
+    return with_values(picked, ["ts", *OHLCV])
 
 
 def read_candles(spark: SparkSession, path: str, symbol: str) -> DataFrame:
@@ -172,7 +172,7 @@ def read_candles(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     cells = F.split("value", "[;,]")
     text = F.trim(F.get(cells, F.lit(0)))
     when = F.coalesce(_ntz(text, BAR_DATE), *[_ntz(text, f) for f in DATE_FORMATS], text.try_cast("timestamp_ntz"))
-    return (
+    picked = (
         spark.read.text(path)
         .where(F.size(cells) >= 6)
         .select(
@@ -180,8 +180,8 @@ def read_candles(spark: SparkSession, path: str, symbol: str) -> DataFrame:
             when.alias("ts"),
             *[F.trim(F.get(cells, F.lit(i + 1))).try_cast("double").alias(c) for i, c in enumerate(OHLCV)],
         )
-        .dropna()
     )
+    return with_values(picked, ["ts", *OHLCV])
 
 
 # -- sinks -----------------------------------------------------------------------------------------
