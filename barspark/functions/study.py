@@ -18,7 +18,9 @@ from barspark.plans.chunks import Line, chunked_rows
 
 Expr = Callable[[Line], Column]
 EPS = 1e-9
-LONG_FRAME = 256
+# Longer means come from running totals instead of re-adding the frame for every row.
+LONG_FRAME = 100
+POS, BLOCK, OFFSET = "_pos", "_block", "_offset"
 
 
 class Study:
@@ -27,6 +29,7 @@ class Study:
         self._level_of: dict[str, int] = {}
         self._reach: dict[str, tuple[int, int]] = {}
         self._outputs: list[str] = []
+        self._block = 0
 
     # -- recording ---------------------------------------------------------------------------------
     def level(self, col: str) -> int:
@@ -69,10 +72,20 @@ class Study:
 
     # -- running -----------------------------------------------------------------------------------
     def on(self, df: DataFrame, line: Line) -> DataFrame:
-        """Add the columns on an already chunked frame."""
+        """Add the columns on an already chunked frame.
+
+        With a recursive mean the rows are first numbered and cut into blocks; ordering every window by
+        (block, time) is the same order as by time, and lets all of them share one sort.
+        """
+        if self._block:
+            pos = F.row_number().over(line.ordered) - 1
+            df = df.withColumn(POS, pos).withColumns(
+                {BLOCK: F.floor(F.col(POS) / self._block), OFFSET: F.col(POS) % self._block}
+            )
+            line = Line(line.part, (BLOCK, *line.order))
         for exprs in self._levels:
             df = df.withColumns({name: expr(line) for name, expr in exprs.items()})
-        return df.drop(*[c for c in self._level_of if c not in self._outputs])
+        return df.drop(POS, BLOCK, OFFSET, *[c for c in self._level_of if c not in self._outputs])
 
     def apply(
         self,
@@ -142,7 +155,7 @@ class Study:
         """A row-wise expression over earlier columns."""
         return self.put(name, needs, lambda line: expr(), keep=keep)
 
-    def ema(self, col: str, span: int, *, block: int | None = None) -> str:
+    def ema(self, col: str, span: int) -> str:
         """Recursive mean, alpha = 2/(span+1), seeded with the first value.
 
         Inside a block the recursion is a weighted running sum. A block is long enough that the weight
@@ -151,27 +164,25 @@ class Study:
         """
         alpha = 2.0 / (span + 1)
         decay = 1.0 - alpha
-        size = max(block or 0, ema_memory(span))
-        pos = self.put("_pos", [], lambda line: F.row_number().over(line.ordered) - 1)
-        blk = self.put(f"_blk{size}", [pos], lambda line: F.floor(F.col(pos) / size))
-        off = self.put(f"_off{size}", [pos], lambda line: F.col(pos) % size)
+        self._block = max(self._block, ema_memory(span))
+        off = F.col(OFFSET)
 
         def weighted(line: Line) -> Column:
-            weight = F.when(F.col(pos) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-            spec = Window.partitionBy(*line.part, blk).orderBy(*line.order)
-            grown = F.sum(weight * F.col(col) * F.pow(F.lit(decay), -F.col(off))).over(
+            weight = F.when(F.col(POS) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+            spec = Window.partitionBy(*line.part, BLOCK).orderBy(*[c for c in line.order if c != BLOCK])
+            grown = F.sum(weight * F.col(col) * F.pow(F.lit(decay), -off)).over(
                 spec.rowsBetween(Window.unboundedPreceding, 0)
             )
-            return grown * F.pow(F.lit(decay), F.col(off))
+            return grown * F.pow(F.lit(decay), off)
 
-        local = self.put(f"_{col}_ema{span}_l{size}", [col, pos, blk, off], weighted, back=size)
+        local = self.put(f"_{col}_ema{span}_local", [col], weighted, back=ema_memory(span))
 
         def carried(line: Line) -> Column:
-            ended = F.last(F.when(F.col(off) == size - 1, F.col(local)), ignorenulls=True)
+            ended = F.last(F.when(off == self._block - 1, F.col(local)), ignorenulls=True)
             before = ended.over(line.between(Window.unboundedPreceding, -1))
-            return F.col(local) + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(decay), F.col(off) + 1)
+            return F.col(local) + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(decay), off + 1)
 
-        return self.put(f"_{col}_ema{span}", [local, off], carried)
+        return self.put(f"_{col}_ema{span}", [local], carried)
 
     # -- indicators --------------------------------------------------------------------------------
     def rsi(self, close: str = "close", n: int = 14, *, full: bool = False) -> str:
@@ -252,10 +263,9 @@ class Study:
         return self.mean(dx, n), pdi, mdi
 
     def macd(self, close: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> tuple[str, str, str]:
-        block = max(ema_memory(fast), ema_memory(slow), ema_memory(signal))
-        quick, lag = self.ema(close, fast, block=block), self.ema(close, slow, block=block)
+        quick, lag = self.ema(close, fast), self.ema(close, slow)
         line = self.calc(f"_{close}_macd{fast}_{slow}", [quick, lag], lambda: F.col(quick) - F.col(lag))
-        sig = self.ema(line, signal, block=block)
+        sig = self.ema(line, signal)
         hist = self.calc(f"{line}_hist{signal}", [line, sig], lambda: F.col(line) - F.col(sig))
         return line, sig, hist
 

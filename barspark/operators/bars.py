@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barspark.functions.study import Study
 from barspark.plans.chunks import with_row_index
@@ -13,6 +14,8 @@ from barspark.plans.scan import running
 
 # Up to this k Spark keeps only k rows per group and task before the shuffle.
 TOPK_LIMIT = 1000
+# Above the range of a 64-bit tie.
+TIE_SPAN = "20000000000000000000"
 OHLCV = ("open", "high", "low", "close", "volume")
 
 
@@ -37,6 +40,20 @@ def bucket_start(ts: str | Column, width: str) -> Column:
     return F.window(ts, width)["start"]
 
 
+def row_rank(bars: DataFrame, ts: str, tie: str | None) -> Column:
+    """Order of rows inside a bucket: time, then ``tie``.
+
+    An integer tie is packed with the microseconds into one decimal, which keeps the rollup a hash
+    aggregate; a struct would turn it into a sort.
+    """
+    if tie is None:
+        return F.col(ts)
+    if not isinstance(bars.schema[tie].dataType, T.IntegralType):
+        return F.struct(ts, tie)
+    micros = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(18,0)")
+    return micros * F.lit(TIE_SPAN).cast("decimal(20,0)") + F.col(tie).cast("decimal(19,0)")
+
+
 def rollup_bars(
     bars: DataFrame,
     width: str,
@@ -57,7 +74,7 @@ def rollup_bars(
         bars = bars.where(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         bars = bars.where(F.col(ts) <= F.lit(end).cast("timestamp_ntz"))
-    rank = F.struct(ts, tie) if tie else F.col(ts)
+    rank = row_rank(bars, ts, tie)
     out = bars.groupBy(*keys, F.window(ts, width).alias("_w")).agg(
         F.min_by("open", rank).alias("open"),
         F.max("high").alias("high"),

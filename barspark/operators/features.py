@@ -289,7 +289,9 @@ def m5_features(
     # Only computed columns are cleaned; copies and constants are added to the finished rows.
     real = [c for c in columns if c not in off and c not in alias]
     shaped = out.select(*keys, ts, "open", "high", "low", "close", "volume", *real)
-    done = clean_features(shaped, real, "drop", keys=keys, ts=ts, chunk_rows=chunk_rows)
+    # The other columns have a neutral fill and cannot be null.
+    open_ended = [c for c in real if c in ("volume_roc", "sma_200", "obv_m15", "mfi_m15")]
+    done = clean_features(shaped, open_ended, "drop", keys=keys, ts=ts, chunk_rows=chunk_rows)
     final = [F.lit(off[c]).alias(c) if c in off else F.col(alias.get(c, c)).alias(c) for c in columns]
     return done.select(*keys, ts, "open", "high", "low", "close", "volume", *final)
 
