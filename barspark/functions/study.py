@@ -20,6 +20,8 @@ Expr = Callable[[Line], Column]
 EPS = 1e-9
 # Longer means come from running totals instead of re-adding the frame for every row.
 LONG_FRAME = 100
+# Largest exponent a weight inside a block may reach.
+MAX_EXPONENT = 600.0
 POS, BLOCK, OFFSET = "_pos", "_block", "_offset"
 
 
@@ -30,6 +32,7 @@ class Study:
         self._reach: dict[str, tuple[int, int]] = {}
         self._outputs: list[str] = []
         self._block = 0
+        self._rate = 0.0
 
     # -- recording ---------------------------------------------------------------------------------
     def level(self, col: str) -> int:
@@ -78,6 +81,8 @@ class Study:
         (block, time) is the same order as by time, and lets all of them share one sort.
         """
         if self._block:
+            if self._block * self._rate > MAX_EXPONENT:
+                raise ValueError("spans of one study are too far apart; use two studies")
             pos = F.row_number().over(line.ordered) - 1
             df = df.withColumn(POS, pos).withColumns(
                 {BLOCK: F.floor(F.col(POS) / self._block), OFFSET: F.col(POS) % self._block}
@@ -165,6 +170,7 @@ class Study:
         alpha = 2.0 / (span + 1)
         decay = 1.0 - alpha
         self._block = max(self._block, ema_memory(span))
+        self._rate = max(self._rate, -math.log(decay))
         off = F.col(OFFSET)
 
         def weighted(line: Line) -> Column:
