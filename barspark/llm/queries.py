@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from barspark.llm import mixing as q3
 from barspark.llm import quality_rules as q1
 
-QUERIES = {"op1_quality_rules": q1.op1_quality_rules}
+QUERIES = {"op1_quality_rules": q1.op1_quality_rules, "op3_mixing": q3.op3_mixing}
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL = {"op1_quality_rules": q1.OP1_SQL}
+ORACLE_SQL = {"op1_quality_rules": q1.OP1_SQL, "op3_mixing": q3.OP3_SQL}
