@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from barspark.llm import line_dedup as q6
 from barspark.llm import mixing as q3
 from barspark.llm import quality_rules as q1
 
-QUERIES = {"op1_quality_rules": q1.op1_quality_rules, "op3_mixing": q3.op3_mixing}
+QUERIES = {"op1_quality_rules": q1.op1_quality_rules, "op3_mixing": q3.op3_mixing, "op6_line_dedup": q6.op6_line_dedup}
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL = {"op1_quality_rules": q1.OP1_SQL, "op3_mixing": q3.OP3_SQL}
+ORACLE_SQL = {"op1_quality_rules": q1.OP1_SQL, "op3_mixing": q3.OP3_SQL, "op6_line_dedup": q6.OP6_SQL}
