@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from barspark.llm import line_dedup as q6
-from barspark.llm import mixing as q3
-from barspark.llm import quality_rules as q1
+from barspark.llm import license_scan, line_dedup, mixing, quality_rules, token_counts
 
-QUERIES = {"op1_quality_rules": q1.op1_quality_rules, "op3_mixing": q3.op3_mixing, "op6_line_dedup": q6.op6_line_dedup}
+QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op3_mixing": mixing.op3_mixing,
+    "op5_license_scan": license_scan.op5_license_scan,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_token_counts": token_counts.op8_token_counts,
+}
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL = {"op1_quality_rules": q1.OP1_SQL, "op3_mixing": q3.OP3_SQL, "op6_line_dedup": q6.OP6_SQL}
+ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
+    "op3_mixing": mixing.OP3_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
+}
