@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barspark.llm import license_scan, line_dedup, mixing, quality_rules, simhash_dedup, token_counts
+from barspark.llm import license_scan, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
+    "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
 }

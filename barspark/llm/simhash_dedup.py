@@ -41,7 +41,9 @@ BITS = 64
 SHINGLE, DISTANCE = 3, 2
 #: For the pipeline: fingerprints of the distinct words find candidates within NEAR_DISTANCE bits; five-word shingles
 #: decide. At a Jaccard similarity of 0.8 their 128-bit fingerprints differ in 19.5 bits on average, 4.1 bits about that.
-NEAR_DISTANCE, CHECK_SHINGLE, CHECK_DISTANCE = 8, 5, 24
+NEAR_DISTANCE, CHECK_SHINGLE, CHECK_DISTANCE = 10, 5, 24
+#: A key that is written, moved and sorted costs about as much as so many comparisons of rows that meet.
+KEY_COST = 64
 #: Hashes counted at a time; rows at a key that are compared by offsets, and by direct search before they are cut again.
 BLOCK, SMALL, LARGE = 1 << 16, 32, 8192
 
@@ -165,7 +167,7 @@ def thresholds(n: int, together: np.ndarray, groups: list[list[int]], distance:
         for q in 2 * p[bits] * (1 - p[bits]):
             at = np.append(at, 0) * (1 - q) + np.append(0, at) * q
         within = np.cumsum(at)
-        cost.append([0.0] + [n * ball(len(bits), (t + 1) // 2) + n * n / 2 * within[t] for t in range(min(distance, len(bits) - 1) + 1)])
+        cost.append([0.0] + [KEY_COST * n * ball(len(bits), (t + 1) // 2) + n * n / 2 * within[t] for t in range(min(distance, len(bits) - 1) + 1)])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in cost:
         step: dict[int, tuple[float, list[int]]] = {}
@@ -297,7 +299,7 @@ def links(nodes: DataFrame, plan: list[tuple[list[int], int]], distance: int, ch
 
 
 def near_groups(docs: DataFrame, make: Print, distance: int, check: int = 0) -> DataFrame:
-    """(doc_id, node, fp, component_id), one row per document."""
+    """(doc_id, node, fp, root, component_id), one row per document; root is the same in a group."""
     prints = settle(fingerprints(docs, make), "prints")
     nodes = settle(prints.groupBy("node", "fp", "c0", "c1").agg(F.min("doc_id").alias("first_id")), "nodes")
     n, together = bit_statistics(nodes)
@@ -305,8 +307,8 @@ def near_groups(docs: DataFrame, make: Print, distance: int, check: int = 0) ->
     rooted = nodes.select("node", "first_id").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     rooted = settle(rooted.select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("node").alias("_node"), "component_id")
-    return prints.join(named, F.col("node") == F.col("_node")).select("doc_id", "node", "fp", "component_id")
+    named = rooted.join(least, "root").select(F.col("node").alias("_node"), "root", "component_id")
+    return prints.join(named, F.col("node") == F.col("_node")).select("doc_id", "node", "fp", "root", "component_id")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
