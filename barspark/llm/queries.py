@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barspark.llm import license_scan, line_dedup, mixing, quality_rules, simhash_dedup, substring_dedup, token_counts
+from barspark.llm import license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_sharding": sharding.op7_sharding,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
 }
