@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from barspark.llm import license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts
+from barspark.llm import decontamination, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_sharding": sharding.op7_sharding,
