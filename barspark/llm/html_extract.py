@@ -31,9 +31,9 @@ from barspark.llm.common import settle, table
 from barspark.llm.html_tree import Page, block_features
 
 #: Bound of the training sample, layouts each page is rebuilt in, and the size of the model.
-TRAIN_PAGES, LAYOUTS, TREES, DEPTH = 200, 4, 20, 5
-#: No block's judgement counts more than this (log odds).
-MOST = 4.0
+TRAIN_PAGES, LAYOUTS, TREES, DEPTH = 400, 4, 40, 5
+#: No block's judgement counts more than this (log odds); this share of it is the judgement on the block above.
+MOST, FROM_ABOVE = 4.0, 0.35
 
 MARKED = re.compile(r"<(article|main)\b[^>]*>(.*?)(?=</\1>|<footer|</body|$)", re.S | re.I)
 PARAGRAPH = re.compile(r"<p>([^<>]{20,})")
@@ -170,10 +170,9 @@ def log_odds(trees: Trees, x: np.ndarray) -> np.ndarray:
 def main_text(page: Page, odds: np.ndarray, size: np.ndarray) -> str:
     """Text of the blocks that the best agreeing choice keeps."""
     n = len(page.tags)
-    gain = np.clip(odds, -MOST, MOST) * size
-    for k in range(n):
-        if page.tags[k] in ("html", "body"):
-            gain[k] = 0
+    odds, root = np.clip(odds, -MOST, MOST), np.array([t in ("html", "body") for t in page.tags])
+    above = np.maximum(page.parents, 0)
+    gain = np.where(root[above], odds, (1 - FROM_ABOVE) * odds + FROM_ABOVE * odds[above]) * np.where(root, 0, size)
     best = gain.tolist()
     for k in range(n - 1, 0, -1):
         if best[k] > 0:
