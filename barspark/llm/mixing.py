@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barspark.llm.common import settle, table, text_or_empty, words_of
@@ -102,12 +102,17 @@ def _schedule(sources: DataFrame, block: int, max_passes: int) -> DataFrame:
     return placed.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: size, source_size, target, taken (words taken, repeats counted), and key (digest of the row)."""
+def mix_sources(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes: int = MAX_PASSES, block_words: int = BLOCK_WORDS, key: Column | None = None
+) -> DataFrame:
+    """One row per document: source, size, source_size, target, taken (words taken, repeats counted), and key.
+
+    key is given to tell rows by, a digest of the text by default; it settles the order of equal doc_ids.
+    """
     text = text_or_empty()
     sized = docs.select(
         "doc_id", "source", F.size(words_of(text)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("ord"),
-        F.md5(text).alias("text_md5"),
+        (F.md5(text) if key is None else key).alias("key"),
     )
     sized = settle(sized, "mix-sized")
     sources = settle(_targets(_sources(sized, weights), max_passes), "mix-targets")
@@ -122,10 +127,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes:
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "weight").withColumn("part", part)
     sums = rows.groupBy("sid", "part").agg(F.sum("size").alias("s"))
     before = F.sum("s").over(Window.partitionBy("sid").orderBy("part")) - F.col("s")
-    inner = Window.partitionBy("sid", "part").orderBy("ord", "doc_id", "size", "text_md5").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("sid", "part").orderBy("ord", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(sums.select("sid", "part", before.alias("before")), ["sid", "part"])
     rows = rows.withColumn("start", F.sum("size").over(inner) - F.col("size") + F.col("before"))
-    cols = ["doc_id", "source", "size", "source_size", "target", "text_md5"]
+    cols = ["doc_id", "source", "size", "source_size", "target", "key"]
     none = rows.filter("size = 0").select(*cols, F.lit(0).cast("long").alias("taken"))
 
     # Blocks a document lies in, joined to how often each is taken.
@@ -137,6 +142,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_passes:
     return spans.groupBy("sid", "start", *cols).agg(taken).select(*cols, "taken").unionByName(none)
 
 
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, each as often as it is taken.
+
+    Words are taken by blocks, so at most one document of a source is taken in part; it counts as whole from half on.
+    """
+    marks = [F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in docs.columns]
+    key = F.md5(F.concat(*marks))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    taken = mix_sources(docs, key=key).groupBy(F.col("key").alias("_taken")).agg(F.sum(times).cast("int").alias("_times")).filter("_times > 0")
+    # Rows with one key agree in every column.
+    rows = docs.select(key.alias("_key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")).groupBy("_key").agg(F.first("row").alias("row"))
+    rows = rows.join(taken, F.col("_key") == F.col("_taken"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select("row.*")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -45,11 +45,15 @@ def _covered(words: Column) -> Column:
     return F.aggregate(found, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"])
 
 
-def document_rules(docs: DataFrame) -> DataFrame:
-    """Counts and rule verdicts per document, from whole texts, with no shuffle."""
+def document_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and rule verdicts per document, from whole texts, with no shuffle.
+
+    The columns in carry come along as a struct, row, where the base rules hold.
+    """
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.select("doc_id", F.col("source").alias("host"), text.alias("text"), words_of(text).alias("words"), lines.alias("lines"))
+    along = [F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []
+    rows = docs.select("doc_id", F.col("source").alias("host"), text.alias("text"), words_of(text).alias("words"), lines.alias("lines"), *along)
     word = F.col("words")
     at = lambda i: F.xxhash64(*(F.get(word, i + k) for k in range(WINDOW)))
     rows = rows.withColumns(
@@ -71,6 +75,8 @@ def document_rules(docs: DataFrame) -> DataFrame:
         | (100 * F.col("n_symbols") > MAX_SYMBOL_PCT * F.col("word_chars"))
         | (100 * F.col("n_dup_lines") > MAX_DUP_LINE_PCT * F.col("n_lines"))
     )
+    if carry:
+        rows = rows.withColumn("row", F.when(~F.col("base_failed"), F.col("row")))
     return rows.withColumn("rule_failed", failed).drop("text", "words", "lines", "hashes")
 
 
@@ -89,9 +95,9 @@ def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk > max_rate)
 
 
-def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Counts, base verdict and kept per document row, with what its host is charged with."""
-    judged = settle(document_rules(docs), "quality")
+def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Counts, base verdict and kept per document row, with what its host is charged with, and carried columns."""
+    judged = settle(document_rules(docs, carry), "quality")
     hosts = host_verdicts(judged, max_host_rate)
     out = judged.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm.common import settle, table
+from barspark.llm.common import settle, table, text_or_empty
 from barspark.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -105,18 +105,19 @@ def near_copy_print(size: int = CHECK_SHINGLE) -> Print:
 
 
 def fingerprints(docs: DataFrame, make: Print) -> DataFrame:
-    """(doc_id, node, fp, c0, c1): fp is the searched fingerprint, node all three numbers as bytes."""
+    """(doc_id, tie, fp, c0, c1, node): tie is a digest of the text, fp the searched fingerprint, node all three as bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             got = np.array([make(t) for t in rows["text"]], np.uint64).reshape(-1, 3)
             out = pd.DataFrame(got.view(np.int64), columns=["fp", "c0", "c1"])
-            out.insert(0, "doc_id", rows["doc_id"].astype("Int64").to_numpy())
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            out.insert(0, "doc_id", rows["doc_id"].astype("Int64"))
+            out.insert(1, "tie", rows["tie"])
             out["node"] = [r.tobytes() for r in got.astype(">u8")]
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long, c0 long, c1 long, node binary")
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tie"), "text")
+    return rows.mapInPandas(run, "doc_id long, tie long, fp long, c0 long, c1 long, node binary")
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -299,7 +300,7 @@ def links(nodes: DataFrame, plan: list[tuple[list[int], int]], distance: int, ch
 
 
 def near_groups(docs: DataFrame, make: Print, distance: int, check: int = 0) -> DataFrame:
-    """(doc_id, node, fp, root, component_id), one row per document; root is the same in a group."""
+    """(doc_id, tie, fp, root, component_id), one row per document; root is the same in a group, tie a digest of the text."""
     prints = settle(fingerprints(docs, make), "prints")
     nodes = settle(prints.groupBy("node", "fp", "c0", "c1").agg(F.min("doc_id").alias("first_id")), "nodes")
     n, together = bit_statistics(nodes)
@@ -308,7 +309,15 @@ def near_groups(docs: DataFrame, make: Print, distance: int, check: int = 0) ->
     rooted = settle(rooted.select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("node").alias("_node"), "root", "component_id")
-    return prints.join(named, F.col("node") == F.col("_node")).select("doc_id", "node", "fp", "root", "component_id")
+    return prints.join(named, F.col("node") == F.col("_node")).select("doc_id", "tie", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The document of smallest doc_id (null first) of each group, in one row; equal ids go by a digest of the text."""
+    chosen = groups.groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("c")).select(F.col("c.doc_id").alias("_doc"), F.col("c.tie").alias("_tie"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(text_or_empty()).alias("tie"))
+    rows = rows.join(chosen, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left_semi")
+    return rows.groupBy("_id", "tie").agg(F.min("row").alias("row")).select("row.*")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
