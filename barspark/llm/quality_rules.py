@@ -20,7 +20,7 @@ MAX_REPEAT_PCT = 20
 MAX_SYMBOL_PCT = 10
 MAX_DUP_LINE_PCT = 30
 WINDOW = 5
-#: A host is rejected if more than this share of its documents is expected to fail.
+#: A host is rejected if more than this share of its documents is expected to fail, and twice the usual share.
 MAX_HOST_RATE = 0.5
 
 
@@ -83,16 +83,18 @@ def document_rules(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per host: documents, failures, shrunk failure rate, and whether the host is rejected.
 
-    The prior is Beta(mu * m, (1 - mu) * m) with mean and variance of the hosts' own rates; m is held
-    between 1 and 1,000,000 where the rates do not vary or vary more than a beta can.
+    The prior is Beta(mu * m, (1 - mu) * m), fitted to the mean of the hosts' rates and to their variance without
+    what chance alone gives hosts of few documents; m is held between 2 and 1,000,000 where the rates vary more
+    than a beta can, or not at all. A host is rejected above max_rate and above twice the hosts' mean rate.
     """
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("host_failures"))
     rate = F.col("host_failures") / F.col("host_docs")
-    mu, var = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    mu, var = mu or 0.0, var or 0.0
-    m = min(max(mu * (1 - mu) / var - 1, 1.0), 1e6) if var > 0 else 1e6
+    mu, var, chance = hosts.agg(F.avg(rate), F.var_pop(rate), F.avg(1 / F.col("host_docs"))).first()
+    mu = mu or 0.0
+    var = (var or 0.0) - mu * (1 - mu) * (chance or 0.0)
+    m = min(max(mu * (1 - mu) / var - 1, 2.0), 1e6) if var > 0 else 1e6
     shrunk = (F.col("host_failures") + F.lit(mu * m)) / (F.col("host_docs") + F.lit(m))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk > max_rate)
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk > max(max_rate, 2 * mu))
 
 
 def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -127,9 +129,10 @@ m AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 f AS (SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines AS rule_failed FROM b),
 h AS (SELECT host, count(*) AS host_docs, sum(rule_failed::INT)::BIGINT AS host_failures FROM f GROUP BY host),
-q AS (SELECT avg(host_failures / host_docs) AS mu, var_pop(host_failures / host_docs) AS v FROM h),
-g AS (SELECT mu, CASE WHEN v > 0 THEN least(greatest(mu * (1 - mu) / v - 1, 1.0), 1e6) ELSE 1e6 END AS m FROM q)
+q0 AS (SELECT avg(host_failures / host_docs) AS mu, var_pop(host_failures / host_docs) AS v, avg(1 / host_docs) AS c FROM h),
+q AS (SELECT mu, v - mu * (1 - mu) * c AS v FROM q0),
+g AS (SELECT mu, CASE WHEN v > 0 THEN least(greatest(mu * (1 - mu) / v - 1, 2.0), 1e6) ELSE 1e6 END AS m FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ((host_failures + mu * m) / (host_docs + m) > 0.5) AS kept, host_docs, host_failures
+       NOT base_failed AND NOT ((host_failures + mu * m) / (host_docs + m) > greatest(0.5, 2 * mu)) AS kept, host_docs, host_failures
 FROM f JOIN h ON f.host IS NOT DISTINCT FROM h.host, g
 """
