@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.functions.study import Study
-from barspark.plans.chunks import with_row_index
+from barspark.plans.chunks import join_on, with_row_index
 from barspark.plans.scan import running
 
-# Up to this k Spark keeps only k rows per group and task before the shuffle.
-TOPK_LIMIT = 1000
 # Above the range of a 64-bit tie.
 TIE_SPAN = "20000000000000000000"
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -211,11 +209,8 @@ def latest_bars(
         raise ValueError("give exactly one of days and n")
     if days is not None:
         newest = bars.groupBy(*keys).agg(F.max(ts).alias("_newest"))
-        joined = bars.join(newest, list(keys))
+        joined = join_on(bars, newest, keys)
         return joined.where(F.col(ts) >= F.col("_newest") - F.expr(f"INTERVAL {int(days)} DAYS")).drop("_newest")
-    if n <= TOPK_LIMIT:
-        w = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
-        return bars.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
     placed = with_row_index(bars, keys=keys, ts=ts, index="_i", total="_n")
     return placed.where(F.col("_i") >= F.col("_n") - n).drop("_i", "_n")
 

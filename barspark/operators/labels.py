@@ -46,7 +46,7 @@ def _future(bars: DataFrame, min_hold: int, horizon: int) -> tuple[Study, str]:
         keep=True,
     )
     # A row has a full horizon when the row `horizon` steps ahead exists.
-    s.put("_last", ["close"], lambda line: line.next("close", horizon), ahead=horizon, keep=True)
+    s.put("_last", ["close"], lambda line: line.next(F.lit(1), horizon), ahead=horizon, keep=True)
     return s, "_atr"
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from operator import and_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspark.functions.study import Study
@@ -253,7 +253,19 @@ def extreme_moves(
 
 
 def newest_rows(df: DataFrame, n: int, ts: str = "ts", *tie: str) -> DataFrame:
-    """The newest n rows overall (a distributed top-k, no full sort)."""
-    return df.orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in tie]).limit(n)
+    """The newest n rows overall.
+
+    Rows per day say on which day the n-th row lies. Later days are kept whole and only that day is ranked,
+    so no task gets more than a day of rows, whatever n is. Rows without a time are the oldest.
+    """
+    day = F.coalesce(F.to_date(ts), F.lit("0001-01-01").cast("date"))
+    counts = df.groupBy(day.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    newer = Window.orderBy(F.col("_d").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    room = counts.select(F.col("_d").alias("_day"), "_n", (n - F.coalesce(F.sum("_n").over(newer), F.lit(0))).alias("_room")).where("_room > 0")
+    rows = df.withColumn("_d", day).join(room, F.col("_d") == F.col("_day"))
+    part = F.when(F.col("_n") > F.col("_room"), -1).otherwise(F.pmod(F.xxhash64(ts), F.lit(256)))
+    rank = F.row_number().over(Window.partitionBy("_d", "_part").orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in tie]))
+    ranked = rows.withColumn("_part", part).withColumn("_rn", rank)
+    return ranked.where(F.col("_rn") <= F.col("_room")).drop("_d", "_day", "_n", "_room", "_part", "_rn")
 
 

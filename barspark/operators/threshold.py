@@ -120,30 +120,29 @@ def _min_trades(given: int | None, floor: int, share: float) -> Column:
 
 
 def _choose(table: DataFrame, tiers: list[tuple[Column, list[Column]]]) -> DataFrame:
-    """Best row of the first tier that has any; a default row when none has.
+    """Best row of the first tier that has any (tiers: condition, values to maximise in turn); a default row when none has.
 
-    Works on the threshold table, so everything fits one small sort.
+    One aggregate over the table: rows carry their first tier, and the best pair of tier and values wins.
     """
-    picked = None
-    for rank, (ok, order) in enumerate(tiers):
-        best = table.where(ok).orderBy(*order).limit(1).withColumn("tier", F.lit(rank))
-        picked = best if picked is None else picked.unionByName(best)
-    default = table.limit(1).select(
-        *[(F.lit(FALLBACK) if c == "threshold" else F.lit(None).cast(t)).alias(c) for c, t in table.dtypes],
-        F.lit(len(tiers)).alias("tier"),
-    )
-    return picked.unionByName(default).orderBy("tier").limit(1)
+    tier = F.coalesce(*[F.when(ok, F.lit(rank)) for rank, (ok, _) in enumerate(tiers)])
+    marked = table.withColumn("tier", tier)
+    value = F.coalesce(*[F.when(F.col("tier") == rank, F.array(*[v.cast("double") for v in values])) for rank, (_, values) in enumerate(tiers)])
+    rank = F.when(F.col("tier").isNotNull(), F.struct((-F.col("tier")).alias("t"), value.alias("v")))
+    best = marked.agg(F.max_by(F.struct(*table.columns, "tier"), rank).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    fallback = {c: F.lit(FALLBACK if c == "threshold" else None).cast(t) for c, t in table.dtypes}
+    cols = [F.when(F.col("b").isNull(), fallback[c]).otherwise(F.col("b")[c]).alias(c) for c in table.columns]
+    return best.select(*cols, F.coalesce(F.col("b.tier"), F.lit(len(tiers))).alias("tier"))
 
 
-def _desc(*cols: str) -> list[Column]:
-    """Ordered comparison on rounded values, so nearly equal scores count as ties."""
-    return [F.round(c, 8).desc() for c in cols] + [F.col("threshold")]
+def _best(*cols: str) -> list[Column]:
+    """Values compared after rounding, so nearly equal scores count as ties; then the lower threshold."""
+    return [F.round(c, 8) for c in cols] + [-F.col("threshold")]
 
 
 def pick_ev(table: DataFrame, min_trades: int | None = None) -> DataFrame:
     """Highest total expected value; ties: per trade, recall, lower threshold."""
     ok = F.col("trades") >= _min_trades(min_trades, 10, 0.001)
-    return _choose(table, [(ok, _desc("ev_total", "ev_per_trade", "recall"))])
+    return _choose(table, [(ok, _best("ev_total", "ev_per_trade", "recall"))])
 
 
 def pick_hybrid(
@@ -164,7 +163,7 @@ def pick_hybrid(
     enough = F.col("trades") >= _min_trades(min_trades, 10, 0.001)
     ok = enough & (F.col("precision") >= min_precision) & (F.col("recall") >= floor)
     return _choose(
-        table, [(ok, _desc("ev_total", "ev_per_trade", "recall")), (enough, [F.col("f1").desc(), F.col("threshold")])]
+        table, [(ok, _best("ev_total", "ev_per_trade", "recall")), (enough, [F.col("f1"), -F.col("threshold")])]
     )
 
 
@@ -173,7 +172,7 @@ def pick_f1(table: DataFrame, min_precision: float = 0.85, min_trades: int | Non
     enough = F.col("trades") >= _min_trades(min_trades, 25, 0.002)
     return _choose(
         table,
-        [(enough & (F.col("precision") >= min_precision), _desc("f1", "recall")), (enough, _desc("precision", "recall"))],
+        [(enough & (F.col("precision") >= min_precision), _best("f1", "recall")), (enough, _best("precision", "recall"))],
     )
 
 
@@ -190,10 +189,10 @@ def optimize_threshold(
         raise ValueError(f"unknown mode: {mode}")
     enough = F.col("trades") >= _min_trades(min_trades, 10, 0.001)
     score = "f1" if mode == "f1" else "ev_total"
-    best_first = [F.col(score).desc(), F.col("threshold")]
+    best_first = [F.col(score), -F.col("threshold")]
     if mode == "hybrid":
         ok = enough & (F.col("precision") >= min_precision) & (F.col("recall") >= min_recall)
-        tiers = [(ok, best_first), (enough, [F.col("f1").desc(), F.col("threshold")])]
+        tiers = [(ok, best_first), (enough, [F.col("f1"), -F.col("threshold")])]
         value = F.when(F.col("tier") == 0, F.col("ev_total")).otherwise(F.col("f1"))
     else:
         tiers = [(enough, best_first)]

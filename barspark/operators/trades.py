@@ -14,10 +14,9 @@ from pyspark.sql import types as T
 from barspark.functions.calendar import in_session
 from barspark.functions.sizing import transaction_cost
 from barspark.functions.study import Study
-from barspark.operators.bars import TOPK_LIMIT
 from barspark.operators.labels import first_exit
 from barspark.operators.splits import walk_forward_days
-from barspark.plans.chunks import SLICE, decide, slice_counts, slice_of, with_row_index
+from barspark.plans.chunks import SLICE, decide, join_on, slice_counts, slice_of, with_row_index
 from barspark.plans.scan import running
 
 NEVER = np.iinfo(np.int64).min
@@ -110,7 +109,7 @@ def non_overlapping(
 ) -> DataFrame:
     """Trades actually taken when only one may be open: a signal before the open trade's exit is skipped.
 
-    The exit bar may re-enter. ``max_per_day`` counts taken trades by entry date.
+    The exit bar may re-enter; a signal without entry or exit time is no trade. ``max_per_day`` counts taken trades by entry date.
 
     The choice depends on the past only through the time the last trade ends. Each chunk of whole days
     therefore first reports, for every way it can be entered, when its last trade ends; these short
@@ -119,7 +118,7 @@ def non_overlapping(
     keys = tuple(keys)
     cap = int(max_per_day or 0)
     rows = decide(trades, chunk_rows)
-    base = trades.where(F.col(exit_ts).isNotNull()).withColumns(
+    base = trades.where(F.col(ts).isNotNull() & F.col(exit_ts).isNotNull()).withColumns(
         {"_s": _micros(ts), "_e": _micros(exit_ts), "_d": F.unix_date(F.to_date(ts))}
     )
     key_fields = [base.schema[k] for k in keys]
@@ -136,7 +135,7 @@ def non_overlapping(
         return base.groupBy(*keys).applyInPandas(take_all, out_schema)
 
     cuts = slice_counts(base, keys, ts).select(*keys, SLICE, F.floor(F.col("_start") / rows).alias("_chunk"))
-    placed = base.withColumn(SLICE, slice_of(ts, "day")).join(cuts, [*keys, SLICE]).drop(SLICE)
+    placed = join_on(base.withColumn(SLICE, slice_of(ts, "day")), cuts, [*keys, SLICE]).drop(SLICE)
 
     # How late any earlier trade can still be open when a chunk begins bounds the entries to solve.
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +158,7 @@ def non_overlapping(
             out[k] = pdf[k].iloc[0]
         return out[[*keys, "_chunk", "_upto", "_end"]]
 
-    solved = placed.join(reach, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(solve, table_schema)
+    solved = join_on(placed, reach, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(solve, table_schema)
     entry_schema = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_free", T.LongType())])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,15 +181,13 @@ def non_overlapping(
         picked = _walk(pdf["_s"].to_numpy(), pdf["_e"].to_numpy(), pdf["_d"].to_numpy(), cap, free)
         return pdf.iloc[picked][names]
 
-    return placed.join(entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(take, out_schema)
+    return join_on(placed, entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(take, out_schema)
 
 
 def first_k_per_day(
     signals: DataFrame, k: int, *, keys: Sequence[str] = ("symbol",), ts: str = "ts"
 ) -> DataFrame:
     """The first k signals of each day, for trades that do not depend on each other."""
-    if k > TOPK_LIMIT:
-        raise ValueError(f"a daily cap above {TOPK_LIMIT} is not a cap")
     w = Window.partitionBy(*keys, F.to_date(ts)).orderBy(ts)
     return signals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from barspark.operators.features import FeatureFlags, M5_COLUMNS, m5_features
 from barspark.operators.labels import barrier_label
+from barspark.operators.quality import newest_rows
 from barspark.operators.model import RobustScale, score, train_gbt, with_weights
 from barspark.operators.sequences import sequences
 from barspark.operators.splits import purge, split_by_date
 from barspark.operators.threshold import candidate_thresholds, evaluate_fixed, optimize_threshold, sweep
+from barspark.plans.chunks import join_on
 from barspark.session import cut_lineage
 
 
@@ -28,7 +30,8 @@ class TrainSettings:
     min_hold: int = 2
     horizon: int = 60
     session: str = "london_ny"
-    max_windows: int | None = 200_000
+    #: Newest train rows to fit on; None takes all. Validation and test rows are never cut.
+    max_windows: int | None = None
     split_dates: tuple[str, str, str] | None = None
     mode: str = "hybrid"
     min_precision: float = 0.38
@@ -67,11 +70,14 @@ def labelled_sequences(
     )
     cols: Sequence[str] = [c for c in M5_COLUMNS if c in feats.columns]
     labelled = barrier_label(feats, settings.sl, settings.tp, settings.min_hold, settings.horizon)
-    seqs = sequences(labelled, cols, settings.window, session=settings.session, max_windows=settings.max_windows)
+    seqs = sequences(labelled, cols, settings.window, session=settings.session)
     slim = seqs.select("symbol", "ts", "close", "atr_m5", "adx", "sma_200", "label", "features")
-    if settings.split_dates:
-        return split_by_date(slim, *settings.split_dates), list(cols)
-    return purge(slim, settings.window), list(cols)
+    rows = split_by_date(slim, *settings.split_dates) if settings.split_dates else purge(slim, settings.window)
+    if settings.max_windows is not None:
+        fit = newest_rows(rows.where(F.col("split") == "train").select("symbol", "ts"), settings.max_windows, "ts", "symbol")
+        rows = join_on(rows, fit.withColumn("_fit", F.lit(True)), ["symbol", "ts"], "left")
+        rows = rows.where((F.col("split") != "train") | F.col("_fit")).drop("_fit")
+    return rows, list(cols)
 
 
 def train_and_evaluate(

@@ -82,6 +82,15 @@ class ChunkedRows:
         return df.where(F.col(CORE)).drop(CHUNK, CORE)
 
 
+def join_on(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null meets null, so rows without a key or time stay in their own group."""
+    named = side.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return df.join(named, same, how).drop(*[f"_on_{k}" for k in keys])
+
+
 def slice_of(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
 
@@ -139,8 +148,7 @@ def chunked_rows(
         *keys, SLICE, own.alias("_own"), F.sequence(first, last).alias("_to")
     )
     spread = (
-        df.withColumn(SLICE, slice_of(ts, unit))
-        .join(cuts, [*keys, SLICE])
+        join_on(df.withColumn(SLICE, slice_of(ts, unit)), cuts, [*keys, SLICE])
         .withColumn(CHUNK, F.explode("_to"))
         .withColumn(CORE, F.col(CHUNK) == F.col("_own"))
         .drop(SLICE, "_own", "_to")
@@ -177,9 +185,7 @@ def with_row_index(
     cuts = slice_counts(df, keys, ts, unit).select(*keys, SLICE, "_start", F.col("_total").alias(total))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     return (
-        df.withColumn(SLICE, slice_of(ts, unit))
-        .withColumn("_r", F.row_number().over(inside))
-        .join(cuts, [*keys, SLICE])
+        join_on(df.withColumn(SLICE, slice_of(ts, unit)).withColumn("_r", F.row_number().over(inside)), cuts, [*keys, SLICE])
         .withColumn(index, F.col("_start") + F.col("_r") - 1)
         .drop(SLICE, "_start", "_r")
     )

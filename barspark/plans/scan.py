@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.plans.chunks import SLICE, is_small, slice_of
+from barspark.plans.chunks import SLICE, is_small, join_on, slice_of
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -58,7 +58,7 @@ def running(
         ],
     )
     staged = df.withColumns({f"_l_{out}": local(kind, col) for out, (kind, col) in columns.items()})
-    joined = staged.join(carry, [*keys, SLICE])
+    joined = join_on(staged, carry, [*keys, SLICE])
 
     def merged(out: str, kind: str) -> Column:
         mine, earlier = F.col(f"_l_{out}"), F.col(f"_c_{out}")
@@ -107,7 +107,7 @@ def value_scan(
         F.array_distinct(F.array_sort(F.percentile_approx(value, probs, 10_000))).alias("_edges")
     )
     if keys:
-        staged = merged.join(edges, list(keys))
+        staged = join_on(merged, edges, keys)
     else:
         staged = merged.withColumn("_edges", edges.scalar())
     staged = staged.withColumn("_range", place_in(F.col(value), F.col("_edges"))).drop("_edges")
@@ -118,7 +118,7 @@ def value_scan(
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = staged.withColumns({f"_l_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    out = local.join(carry, [*keys, "_range"])
+    out = join_on(local, carry, [*keys, "_range"])
     return out.withColumns({f"{c}_below": F.col(f"_l_{c}") + F.col(f"_c_{c}") for c in sums}).drop(
         "_range", *[f"_{p}_{c}" for c in sums for p in "lc"]
     )
@@ -146,7 +146,7 @@ def exact_quantiles(
         data.select(*keys, value).withColumn("_one", F.lit(1)), value, ["_one"], keys=keys, small=small
     )
     totals = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(totals, list(keys)) if keys else ranked.withColumn("_n", totals.scalar())
+    ranked = join_on(ranked, totals, keys) if keys else ranked.withColumn("_n", totals.scalar())
     want = F.array(*[F.lit(p) for p in probs])
     spots = F.transform(want, lambda p: F.struct(p.alias("prob"), (p * (F.col("_n") - 1)).alias("pos")))
     lo, hi = F.col("_one_below"), F.col("_one_below") + F.col("_one") - 1

@@ -27,12 +27,15 @@ def build_session(app: str = "barspark", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; a temporary one only where none is set."""
+    """The shared checkpoint folder named by the cluster; on a local master a temporary one where none is set."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        # Executors on other machines would write to their own disks, so there is no fallback for them.
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="barspark-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path

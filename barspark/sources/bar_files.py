@@ -59,12 +59,13 @@ def read_bars(
     """
     names = ["Date", "Open", "High", "Low", "Close", "Volume"]
     raw = spark.read.schema(", ".join(f"{n} STRING" for n in names)).csv(path, sep=sep, header=True, mode="PERMISSIVE")
-    raw = raw.select("*", _line().alias("line"))
     if years is not None:
-        year = F.regexp_extract("line.file", r"_(\d{4})\.[A-Za-z]+$", 1)
+        # On the file's name alone, before anything is numbered: files of other years are never opened.
+        year = F.regexp_extract("_metadata.file_name", r"_(\d{4})\.[A-Za-z]+$", 1)
         raw = raw.where(year.isin([str(y) for y in years]))
-        if not raw.limit(1).count():
+        if raw.isEmpty():
             raise ValueError(f"no bar files for years {sorted(years)}")
+    raw = raw.select("*", _line().alias("line"))
     bars = raw.select(
         F.lit(symbol).alias("symbol"),
         _ntz(F.trim("Date"), BAR_DATE).alias("ts"),
