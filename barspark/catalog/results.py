@@ -114,6 +114,30 @@ query(
     "equity",
 )(lambda spark, d: K.drawdown_stop(_equity(spark, d), 0.05).select("symbol", "seq", "ts", "equity"))
 
+_STOPPED = f"""{_equity_sql()}, dk AS (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS peak FROM eq),
+    st AS (SELECT symbol, arg_min(ts, seq) AS stop_ts FROM dk WHERE (peak - equity) / peak >= 0.002 GROUP BY 1)"""
+
+
+@query("stop_trading", f"{_STOPPED} SELECT symbol, ts, exit_ts, pnl FROM pn LEFT JOIN st USING (symbol) WHERE stop_ts IS NULL OR ts <= stop_ts", "pnl")
+def _stopped(spark, d):
+    p = _trade_input(spark, d)
+    trades = K.take_trades(p, hourly(spark, d), min_probability=0.2)
+    return K.stop_trading(trades, K.equity_curve(p, trades, 1000.0), 0.002).select("symbol", "ts", "exit_ts", "pnl")
+
+
+_COMPOUND = f"""{_taken_sql()}, {_PNL},
+    nm AS (SELECT symbol, ts, row_number() OVER {O} AS i, 0.01::DOUBLE / close AS u, exit_price - close AS mv FROM pn),
+    cp AS (SELECT symbol, i, ts, u, 1000.0::DOUBLE AS capital, 1000.0::DOUBLE * (1 + u * mv) - 0.8::DOUBLE AS rest FROM nm WHERE i = 1
+    UNION ALL SELECT nm.symbol, nm.i, nm.ts, nm.u, cp.rest, cp.rest * (1 + nm.u * nm.mv) - 0.8::DOUBLE FROM cp JOIN nm ON nm.symbol = cp.symbol AND nm.i = cp.i + 1)
+    SELECT symbol, ts, capital, u * capital AS position_size, rest - capital AS pnl FROM cp"""
+
+for _name, _rows in (("compound_trades", None), ("compound_trades_chunked", 30)):
+    query(_name, _COMPOUND, "capital position_size pnl")(
+        lambda spark, d, r=_rows: K.compound_trades(_taken(spark, d), 0.01 / F.col("entry_price"), 1000.0, chunk_rows=r).select(
+            "symbol", "ts", "capital", "position_size", "pnl"
+        )
+    )
+
 _SCN = [(s.name, s.spread, s.commission, s.threshold) for s in K.stress_scenarios(0.3)]
 
 

@@ -287,18 +287,63 @@ def trade_equity(
     return start.unionByName(body)
 
 
+def _breach(equity: DataFrame, limit: float, keys: Sequence[str], ts: str, chunk_rows: int | None) -> DataFrame:
+    """(keys, _stop, _at): number and time of the first point whose fall from the peak reaches the limit."""
+    run = running(equity, {"_peak": ("max", "equity")}, keys=keys, ts=ts, order=("seq",), chunk_rows=decide(equity, chunk_rows))
+    fallen = F.try_divide(F.col("_peak") - F.col("equity"), F.col("_peak")) >= limit
+    first = run.where(fallen).groupBy(*keys).agg(F.min(F.struct("seq", ts)).alias("_b"))
+    return first.select(*keys, F.col("_b.seq").alias("_stop"), F.col(f"_b.{ts}").alias("_at"))
+
+
 def drawdown_stop(
     equity: DataFrame, limit: float = 0.20, *, keys: Sequence[str] = ("symbol",), ts: str = "ts", chunk_rows: int | None = None
 ) -> DataFrame:
     """Points up to and including the first one whose fall from the peak reaches the limit."""
-    run = running(equity, {"_peak": ("max", "equity")}, keys=keys, ts=ts, order=("seq",), chunk_rows=decide(equity, chunk_rows))
-    marked = run.withColumn("_dd", F.try_divide(F.col("_peak") - F.col("equity"), F.col("_peak")))
-    breach = marked.where(F.col("_dd") >= limit).groupBy(*keys).agg(F.min("seq").alias("_stop"))
-    return (
-        marked.join(breach, list(keys), "left")
-        .where(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop")))
-        .drop("_peak", "_dd", "_stop")
-    )
+    breach = _breach(equity, limit, keys, ts, chunk_rows)
+    return join_on(equity, breach, keys, "left").where(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop"))).drop("_stop", "_at")
+
+
+def stop_trading(
+    trades: DataFrame, equity: DataFrame, limit: float = 0.20, *, keys: Sequence[str] = ("symbol",), ts: str = "ts", chunk_rows: int | None = None
+) -> DataFrame:
+    """Trades entered up to the point where ``drawdown_stop`` ends the curve: none is made after it."""
+    breach = _breach(equity, limit, keys, ts, chunk_rows)
+    return join_on(trades, breach, keys, "left").where(F.col("_at").isNull() | (F.col(ts) <= F.col("_at"))).drop("_stop", "_at")
+
+
+def compound_trades(
+    trades: DataFrame,
+    per_capital: Column,
+    initial: float = 100_000.0,
+    *,
+    cost: float | None = None,
+    entry: str = "entry_price",
+    keys: Sequence[str] = ("symbol",),
+    ts: str = "ts",
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """Sizes that follow the capital: add capital (before the trade), position_size, gross_pnl, transaction_cost and pnl.
+
+    ``per_capital`` is the lots per unit of capital, as risk and Kelly sizing give before their bounds. A trade
+    then maps capital c to c * g - cost, so the capital along the trades is A * (initial - sum(cost / A)) with A
+    the running product of g: two running sums, with no trade waiting for the one before. From a trade on that
+    loses all capital, capital and sizes are 0.
+    """
+    cost = transaction_cost() if cost is None else cost
+    rows = decide(trades, chunk_rows)
+    grown = trades.withColumn("_u", per_capital.cast("double"))
+    grown = grown.withColumn("_g", 1 + F.col("_u") * (F.col("exit_price") - F.col(entry)))
+    grown = grown.withColumn("_lg", F.when(F.col("_g") > 0, F.log("_g"))).withColumn("_lost", (F.col("_g") <= 0).cast("int"))
+    grown = running(grown, {"_a": ("sum", "_lg"), "_ruin": ("max", "_lost")}, keys=keys, ts=ts, chunk_rows=rows)
+    grown = grown.withColumn("_c", F.lit(float(cost)) * F.exp(-F.col("_a")))
+    grown = running(grown, {"_paid": ("sum", "_c")}, keys=keys, ts=ts, chunk_rows=rows)
+    after = F.exp("_a") * (F.lit(float(initial)) - F.col("_paid"))
+    capital = F.when(F.col("_ruin") > 0, F.lit(0.0)).otherwise(F.try_divide(after + cost, F.col("_g")))
+    out = grown.withColumn("capital", capital).withColumn("position_size", F.col("_u") * F.col("capital"))
+    out = out.withColumn("gross_pnl", F.col("position_size") * (F.col("exit_price") - F.col(entry)))
+    paid = F.when(F.col("_ruin") > 0, F.lit(0.0)).otherwise(F.lit(float(cost)))
+    out = out.withColumn("transaction_cost", paid).withColumn("pnl", F.col("gross_pnl") - F.col("transaction_cost"))
+    return out.drop("_u", "_g", "_lg", "_lost", "_a", "_ruin", "_c", "_paid")
 
 
 def compound_equity(

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barspark.operators import trades as K
 from barspark.operators.labels import first_exit, mark_open, scan_outcome, verify_exits
@@ -149,3 +150,19 @@ def test_drawdown_stop_keeps_the_breach(spark):
     eq = spark.createDataFrame(rows, "symbol string, seq long, ts timestamp_ntz, equity double")
     for rows_ in (0, 1):
         assert sorted(r["seq"] for r in K.drawdown_stop(eq, 0.2, chunk_rows=rows_).collect()) == [0, 1, 2]
+
+
+def test_sizes_follow_the_capital_until_it_is_lost(spark):
+    moves = [5.0, -3.0, 10.0, -200.0, 7.0]
+    rows = [("A", f"2024-01-0{k + 1} 10:00", 100.0, 100.0 + m) for k, m in enumerate(moves)]
+    trades = spark.createDataFrame(rows, "symbol string, at string, entry_price double, exit_price double")
+    trades = trades.select("symbol", F.to_timestamp_ntz("at", F.lit("yyyy-MM-dd HH:mm")).alias("ts"), "entry_price", "exit_price")
+    for chunk in (0, 1):
+        got = K.compound_trades(trades, F.lit(0.01), 1000.0, cost=2.0, chunk_rows=chunk).orderBy("ts").collect()
+        capital, want = 1000.0, []
+        for m in moves:
+            lost = 1 + 0.01 * m <= 0
+            want.append(0.0 if lost or capital == 0 else capital)
+            capital = 0.0 if lost or capital == 0 else capital * (1 + 0.01 * m) - 2.0
+        assert [round(r["capital"], 8) for r in got] == [round(c, 8) for c in want]
+        assert [round(r["pnl"], 8) for r in got][:2] == [round(1000 * 0.05 - 2, 8), round(want[1] * -0.03 - 2, 8)]
