@@ -28,15 +28,18 @@ from pyspark.sql import functions as F
 
 from barspark.llm.common import WORD, settle, table, text_or_empty
 
-WINDOW, MER = 20, 3
+WINDOW, MER = 20, 5
 #: Characters of packed words a bucket should hold; one with HOT times the mean windows is spread by window.
-BUCKET_CHARS, HOT = 2_000_000, 8
+BUCKET_CHARS, HOT = 1_000_000, 4
 #: Characters a word is moved, on average, per character of text.
 SPREAD = 3
-#: Packed characters a task holds before it sends them; windows searched at a time; word hashes kept.
-HELD, BLOCK, CACHE = 48_000_000, 1 << 18, 500_000
+#: Packed characters a task holds before it sends them; word hashes (and counts) kept.
+HELD, CACHE = 24_000_000, 500_000
 NO_ID = -(1 << 63)
+#: Bytes hashed at a time.
+STRETCH = 1 << 20
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+WEIGHTS = np.random.default_rng(20).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordHash(dict):
@@ -54,22 +57,51 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def split_words(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a text joined by one blank, where each begins and ends, and a hash of each for the minimisers."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    keep = ~gap
+    keep[1:] |= ~gap[:-1]  # the first separator after a word stays, as a blank
+    joined = np.where(gap, np.uint8(32), raw)[keep]
+    if len(joined) and joined[-1] == 32:
+        joined = joined[:-1]
+    ends = np.append(np.flatnonzero(joined == 32), len(joined))[: len(joined)]
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    hashes, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + STRETCH)))
+        begin = starts[a:b] - starts[a]
+        part = joined[starts[a] : ends[b - 1]]
+        inside = np.arange(len(part)) - np.repeat(begin, np.diff(np.append(begin, len(part))))
+        terms = np.where(part == 32, np.uint64(0), (part.astype(np.uint64) + np.uint64(1)) * WEIGHTS[inside % len(WEIGHTS)])
+        hashes[a:b] = np.add.reduceat(terms, begin)
+        a = b
+    return joined.tobytes(), starts, ends, (hashes ^ (hashes >> np.uint64(32))) * np.uint64(MULTIPLIERS[1])
+
+
 def minimisers(hashes: np.ndarray, window: int, mer: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per window: where its minimiser is (leftmost of equals), and the minimiser."""
+    """Hash of the first MER words, and minimiser, of each window."""
     mers = np.zeros(len(hashes) - mer + 1, np.uint64)
     for k in range(mer):
         mers = (mers ^ hashes[k : len(hashes) - mer + 1 + k]) * np.uint64(MULTIPLIERS[0])
         mers ^= mers >> np.uint64(29)
-    view = np.lib.stride_tricks.sliding_window_view(mers, window - mer + 1)
-    at = np.concatenate([view[k : k + BLOCK].argmin(axis=1) for k in range(0, len(view), BLOCK)]) + np.arange(len(view))
-    return at, mers[at]
+    # Minima of 2, 4, 8, ... neighbours, then of two stretches that cover the window.
+    width, span, least = window - mer + 1, 1, mers
+    while 2 * span <= width:
+        least, span = np.minimum(least[:-span], least[span:]), 2 * span
+    least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
+    return mers[: len(least)], least
 
 
 def super_kmers(hashes: np.ndarray, window: int, mer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimiser of each super-k-mer of a document with a window."""
-    at, least = minimisers(hashes, window, mer)
-    first = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-    return first, np.diff(np.append(first, len(at))), least[first]
+    """First window, number of windows and minimiser of each super-k-mer of a document with a window.
+
+    It also ends where a window begins with its minimiser, so no window is twice in it.
+    """
+    head, least = minimisers(hashes, window, mer)
+    first = np.concatenate(([0], np.flatnonzero((least[1:] != least[:-1]) | (head[:-1] == least[:-1])) + 1))
+    return first, np.diff(np.append(first, len(least))), least[first]
 
 
 def rolling(hashes: np.ndarray, window: int, multiplier: int) -> np.ndarray:
@@ -82,59 +114,64 @@ def rolling(hashes: np.ndarray, window: int, multiplier: int) -> np.ndarray:
     return got ^ (got >> np.uint64(31))
 
 
-def pack(parts: list[tuple[int, int, int, int, str]]) -> bytes:
-    """One block of super-k-mers: minimisers, doc_ids, text digests, first windows, then their words by lines."""
+def pack(head: np.ndarray, texts: list[bytes]) -> bytes:
+    """One block of super-k-mers: rows of minimiser, doc_id, text digest and first window, then their words by lines."""
     import zstandard
 
-    mini, ids, ties, first, words = zip(*parts, strict=True)
-    head = np.array([len(parts)], np.int64).tobytes() + np.array(mini, np.uint64).tobytes()
-    head += np.array(ids, np.int64).tobytes() + np.array(ties, np.int64).tobytes() + np.array(first, np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + "\n".join(words).encode("utf-8", "surrogatepass"))
+    raw = np.array([len(texts)], np.int64).tobytes() + head.tobytes() + b"\n".join(texts)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, list[str]]:
+def unpack(block: bytes) -> tuple[np.ndarray, list[bytes]]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n), raw[8 + 32 * n :].decode("utf-8", "surrogatepass").split("\n")
+    return np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n), raw[8 + 32 * n :].split(b"\n")
 
 
-def later_windows(head: np.ndarray, texts: list[str], window: int, hashes: WordHash) -> list[tuple[int, int, int, int]]:
-    """(doc_id, digest, first window, number) of the windows in a bucket that also start earlier."""
+def later_windows(head: np.ndarray, texts: list[bytes], window: int) -> np.ndarray:
+    """Rows of doc_id, digest, first window and number: runs of windows in a bucket that also start earlier."""
     _, code, often = np.unique(head[0], return_inverse=True, return_counts=True)
     met = np.flatnonzero(often[code] > 1)  # a minimiser that came once has met nothing
-    if not len(met):
-        return []
-    words = [texts[k].split(" ") for k in met.tolist()]
-    sizes = np.array([len(w) for w in words])
-    flat = [x for w in words for x in w]
-    begin = np.cumsum(sizes) - sizes
-    inside = np.arange(len(flat)) - np.repeat(begin, sizes)
+    # In order of places, so that sorting windows by hash alone leaves equal ones in it.
+    met = met[np.lexsort((head[3][met], head[2][met], head[1][met]))]
+    found = [texts[k] for k in met.tolist()]
+    sizes = np.array([t.count(b" ") + 1 for t in found], np.int64)
+    # Words are numbered, so windows are equal exactly if their numbers are.
+    numbers: dict[bytes, int] = defaultdict(lambda: len(numbers))
+    flat = np.fromiter((numbers[x] for t in found for x in t.split(b" ")), np.int64, int(sizes.sum()))
+    if not len(flat):
+        return np.empty((0, 4), np.int64)
+    inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.flatnonzero(inside <= np.repeat(sizes - window, sizes))  # where a window starts
+    spread = (flat.view(np.uint64) + np.uint64(1)) * np.uint64(MULTIPLIERS[2])
+    code = rolling(spread ^ (spread >> np.uint64(32)), window, MULTIPLIERS[1])[at]
+    order = np.argsort(code, kind="stable")
+    twice = code[order][1:] == code[order][:-1]
+    order = order[np.append(twice, False) | np.append(False, twice)]  # windows whose hash came once have met nothing
+    if not len(order):
+        return np.empty((0, 4), np.int64)
+    code, at = code[order], at[order]
     owner = np.repeat(met, sizes)[at]
-    place = head[3][owner] + inside[at]
-    code = rolling(hashes.of(flat), window, MULTIPLIERS[1])[at]
-    order = np.lexsort((place, head[2][owner], head[1][owner], code))
-    code, at, owner, place = code[order], at[order], owner[order], place[order]
-    same = np.concatenate(([False], code[1:] == code[:-1]))
-    run = np.flatnonzero(same | np.append(same[1:], False)).tolist()
-    first: dict[str, tuple[int, int, int]] = {}
-    later = []
-    for k in run:
-        o, p = int(owner[k]), int(place[k])
-        where = int(head[1][o]), int(head[2][o]), p
-        text = " ".join(flat[at[k] : at[k] + window])
-        if first.setdefault(text, where) != where:
-            later.append(where)
-    later = sorted(set(later))
-    out: list[list[int]] = []
-    for i, t, p in later:
-        if out and out[-1][:2] == [i, t] and out[-1][2] + out[-1][3] == p:
-            out[-1][3] += 1
-        else:
-            out.append([i, t, p, 1])
-    return [tuple(x) for x in out]
+    where = np.stack((head[1][owner], head[2][owner], head[3][owner] + inside[at]), axis=1)
+    again = np.flatnonzero(code[1:] == code[:-1]) + 1  # same hash as the one before
+    same = np.ones(len(again), bool)
+    for k in range(window):
+        same &= flat[at[again] + k] == flat[at[again - 1] + k]
+    run = np.cumsum(np.append(True, code[1:] != code[:-1])) - 1
+    lead = np.flatnonzero(np.append(True, code[1:] != code[:-1]))[run]
+    odd = np.unique(run[again[~same]])  # different windows of one hash: told apart one by one
+    late = again[(where[again] != where[lead[again]]).any(axis=1) & ~np.isin(run[again], odd)].tolist()
+    for k in odd.tolist():
+        first: dict[bytes, bytes] = {}
+        for j in range(*np.searchsorted(run, [k, k + 1]).tolist()):
+            if first.setdefault(flat[at[j] : at[j] + window].tobytes(), where[j].tobytes()) != where[j].tobytes():
+                late.append(j)
+    late = np.unique(where[late], axis=0) if late else np.empty((0, 3), np.int64)
+    new = np.append(True, (late[1:, :2] != late[:-1, :2]).any(axis=1) | (late[1:, 2] != late[:-1, 2] + 1))[: len(late)]
+    begin = np.flatnonzero(new)
+    return np.hstack((late[begin], np.diff(np.append(begin, len(late)))[:, None]))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -149,55 +186,71 @@ def repeated_windows(rows: DataFrame, window: int, mer: int, bucket_chars: int,
     buckets = max(16, SPREAD * chars // bucket_chars)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, n = WordHash(), defaultdict(int)
+        held, size = [], 0
+
+        def summed() -> pd.DataFrame:
+            at, number = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 2
+            at, code = np.unique(at, return_inverse=True)
+            return pd.DataFrame({"bucket": at.astype(np.int64), "n": np.bincount(code, weights=number, minlength=len(at)).astype(np.int64)})
+
         for batch in batches:
             for text in batch["text"]:
-                words = WORD.findall(text)
-                if len(words) >= window:
-                    _, number, mini = super_kmers(hashes.of(words), window, mer)
-                    at, code = np.unique(mini % np.uint64(buckets), return_inverse=True)
-                    for b, k in zip(at.tolist(), np.bincount(code, weights=number).tolist(), strict=True):
-                        n[b] += int(k)
-            if len(n) > CACHE:
-                yield pd.DataFrame({"bucket": list(n), "n": list(n.values())})
-                n.clear()
-        yield pd.DataFrame({"bucket": list(n), "n": list(n.values())}, dtype="int64")
+                hashes = split_words(text)[3]
+                if len(hashes) >= window:
+                    _, number, mini = super_kmers(hashes, window, mer)
+                    held.append((mini % np.uint64(buckets), number))
+                    size += len(mini)
+                    if size > CACHE:
+                        yield summed()
+                        held.clear()
+                        size = 0
+        yield summed()
 
     sizes = settle(rows.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-sizes")
     mean = (sizes.agg(F.sum("n")).first()[0] or 0) / buckets
     # At most buckets / hot_factor of them can hold hot_factor times the mean.
     hot = frozenset(r["bucket"] for r in sizes.filter(F.col("n") > hot_factor * max(mean, 1)).select("bucket").collect())
 
+    hot_buckets = np.array(sorted(hot), np.uint64)
+
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, held, size = WordHash(), defaultdict(list), 0
+        heads, texts, size = [], [], 0
 
         def full() -> pd.DataFrame:
-            return pd.DataFrame({"bucket": list(held), "block": [pack(p) for p in held.values()]})
+            head = np.concatenate(heads, axis=1) if heads else np.empty((4, 0), np.int64)
+            to = head[0].view(np.uint64) % np.uint64(buckets)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order])) + 1
+            groups = [g for g in np.split(order, cuts) if len(g)]
+            return pd.DataFrame({"bucket": [int(to[g[0]]) for g in groups], "block": [pack(head[:, g], [texts[k] for k in g.tolist()]) for g in groups]})
 
         for batch in batches:
             for i, tie, text in zip(batch["id"].tolist(), batch["tie"].tolist(), batch["text"], strict=True):
-                words = WORD.findall(text)
-                if len(words) < window:
+                joined, starts, ends, hashes = split_words(text)
+                if len(starts) < window:
                     continue
-                first, number, mini = super_kmers(hashes.of(words), window, mer)
-                for f, k, m, b in zip(first.tolist(), number.tolist(), mini.tolist(), (mini % np.uint64(buckets)).tolist(), strict=True):
-                    if b not in hot:
-                        packed = " ".join(words[f : f + k + window - 1])
-                        held[b].append((m, i, tie, f, packed))
-                        size += len(packed)
+                first, number, mini = super_kmers(hashes, window, mer)
+                if len(hot_buckets):
+                    cold = ~np.isin(mini % np.uint64(buckets), hot_buckets)
+                    first, number, mini = first[cold], number[cold], mini[cold]
+                begin, end = starts[first].tolist(), ends[first + number + window - 2].tolist()
+                texts += [joined[a:b] for a, b in zip(begin, end, strict=True)]
+                heads.append(np.stack((mini.view(np.int64), np.full(len(first), i), np.full(len(first), tie), first)))
+                size += sum(end) - sum(begin)
                 if size > HELD:
                     yield full()
-                    held.clear()
+                    heads.clear()
+                    texts.clear()
                     size = 0
         yield full()
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, at, held = WordHash(), None, []
+        at, held = None, []
 
         def found() -> pd.DataFrame:
             heads, texts = zip(*map(unpack, held), strict=True)
-            got = later_windows(np.concatenate(heads, axis=1), [t for part in texts for t in part], window, hashes)
-            return pd.DataFrame(got, columns=["id", "tie", "first", "number"], dtype="int64")
+            got = later_windows(np.concatenate(heads, axis=1), [t for part in texts for t in part], window)
+            return pd.DataFrame(got, columns=["id", "tie", "first", "number"])
 
         for batch in batches:
             for bucket, block in zip(batch["bucket"].tolist(), batch["block"], strict=True):
@@ -223,9 +276,9 @@ def repeated_windows(rows: DataFrame, window: int, mer: int, bucket_chars: int,
                 words = WORD.findall(text)
                 if len(words) < window:
                     continue
-                h = hashes.of(words)
-                at = np.flatnonzero(np.isin(minimisers(h, window, mer)[1] % np.uint64(buckets), np.array(list(hot), np.uint64)))
+                at = np.flatnonzero(np.isin(minimisers(split_words(text)[3], window, mer)[1] % np.uint64(buckets), hot_buckets))
                 if len(at):
+                    h = hashes.of(words)
                     codes = [rolling(h, window, m)[at].view(np.int64) for m in MULTIPLIERS[1:]]
                     out.append(pd.DataFrame({"h1": codes[0], "h2": codes[1], "id": i, "tie": tie, "first": at}))
             if out:
