@@ -307,7 +307,8 @@ def near_groups(docs: DataFrame, make: Print, distance: int, check: int = 0) ->
     roots = components(links(nodes, search_plan(n, together, distance), distance, check))
     rooted = nodes.select("node", "first_id").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     rooted = settle(rooted.select("node", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written, so the join on a large component's root is one that adaptive execution may split.
+    least = settle(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     named = rooted.join(least, "root").select(F.col("node").alias("_node"), "root", "component_id")
     return prints.join(named, F.col("node") == F.col("_node")).select("doc_id", "tie", "fp", "root", "component_id")
 
