@@ -44,6 +44,8 @@ SHINGLE, DISTANCE = 3, 2
 NEAR_DISTANCE, CHECK_SHINGLE, CHECK_DISTANCE = 10, 5, 24
 #: A key that is written, moved and sorted costs about as much as so many comparisons of rows that meet.
 KEY_COST = 64
+#: Keys a node may write for one group of bits.
+MOST_KEYS = 8192
 #: Hashes counted at a time; rows at a key that are compared by offsets, and by direct search before they are cut again.
 BLOCK, SMALL, LARGE = 1 << 16, 32, 8192
 
@@ -168,7 +170,8 @@ def thresholds(n: int, together: np.ndarray, groups: list[list[int]], distance:
         for q in 2 * p[bits] * (1 - p[bits]):
             at = np.append(at, 0) * (1 - q) + np.append(0, at) * q
         within = np.cumsum(at)
-        cost.append([0.0] + [KEY_COST * n * ball(len(bits), (t + 1) // 2) + n * n / 2 * within[t] for t in range(min(distance, len(bits) - 1) + 1)])
+        allowed = [t for t in range(min(distance, len(bits) - 1) + 1) if ball(len(bits), (t + 1) // 2) <= MOST_KEYS]
+        cost.append([0.0] + [KEY_COST * max(n, 1) * ball(len(bits), (t + 1) // 2) + n * n / 2 * within[t] for t in allowed])
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for row in cost:
         step: dict[int, tuple[float, list[int]]] = {}
