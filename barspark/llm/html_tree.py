@@ -34,6 +34,10 @@ TOKEN_GROUP = {t: k for k, group in enumerate(TOKENS) for t in group.split()}
 N_FEATURES = len(TAGS) + 2 * len(TOKENS) + 17
 
 
+#: A tag that the page ends in is dropped, as browsers do.
+UNENDED = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
+
+
 class Page(HTMLParser):
     """Blocks in page order (parents first) and segments of text, each inside one block."""
 
@@ -45,7 +49,7 @@ class Page(HTMLParser):
         self.segments: list[tuple[int, list[str]]] = []
         self.own, self.linked, self.inside = [0], [0], [0]
         self.fresh = True
-        self.feed(html)
+        self.feed(UNENDED.sub("", html))
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
