@@ -54,3 +54,22 @@ def test_different_documents_with_close_prints_both_stay(spark):
     assert len(rows) >= 10
     df = frame(spark, rows)
     assert keep_one(df, nc.near_copy_groups(df)).count() == len(rows)
+
+
+def test_added_cut_and_changed_passages_are_joined(spark):
+    rng, rows, pairs = random.Random(6), [], {"added": [], "cut": [], "changed": []}
+    for k in range(300):
+        kind = ("added", "cut", "changed")[k % 3]
+        w, other = prose(rng, rng.randint(60, 400)).split(), prose(rng, 100).split()
+        x = int(len(w) * rng.uniform(0.1, 0.2) / (2 if kind == "changed" else 1))
+        at = rng.randrange(len(w) - x)
+        v = w + other[:x] if kind == "added" else w[:at] + (other[:x] if kind == "changed" else []) + w[at + x :]
+        a, b = " ".join(w), " ".join(v)
+        rows += [(2 * k, a, "en", "s"), (2 * k + 1, b, "en", "s")]
+        if likeness(plain_set(a), plain_set(b)) >= 0.8:
+            pairs[kind].append(k)
+    got = {r["doc_id"]: r["component_id"] for r in nc.near_copy_groups(frame(spark, rows)).collect()}
+    for ks in pairs.values():
+        assert len(ks) >= 50 and sum(got[2 * k + 1] == 2 * k for k in ks) >= 0.99 * len(ks)
+    near = {k for ks in pairs.values() for k in ks}
+    assert all(got[2 * k + 1] == 2 * k + 1 for k in range(300) if k not in near)
