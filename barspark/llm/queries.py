@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barspark.llm import decontamination, html_extract, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts
+from barspark.llm import decontamination, html_extract, language_id, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op12_language_id": language_id.op12_language_id,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
