@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barspark.llm import decontamination, html_extract, language_id, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts
+from barspark.llm import decontamination, html_extract, language_id, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_html_extract": html_extract.op10_html_extract,
     "op12_language_id": language_id.op12_language_id,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 #: Queries that SQL can express; the others are tested against brute force in tests/llm.
