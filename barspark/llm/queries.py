@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barspark.llm import decontamination, html_extract, language_id, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts, whitening
+from barspark.llm import decontamination, hard_negatives, html_extract, language_id, license_scan, line_dedup, mixing, quality_rules, sharding, simhash_dedup, substring_dedup, token_counts, whitening
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_language_id": language_id.op12_language_id,
     "op13_whitening": whitening.op13_whitening,
 }
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
 }
