@@ -5,13 +5,16 @@ words and those above it, the text, link and tag density of its subtree, its dep
 Decoding then keeps or drops whole subtrees: dropping a block drops all below it, keeping one requires all
 above it, and of all such choices the one with the largest total of log odds times text is taken.
 
-The trees are trained on TRAIN_PAGES pages, those with the smallest digest of page_id. Their main part is
-known where they mark it (article or main). Each is trained on as it is and rebuilt in LAYOUTS other layouts
-with plain elements, menus, notices, adverts, forms, related links and reader comments around and inside
-its text, so that blocks are not told by one element's name. Pages without such a mark are not trained on.
-
-Defined results: a null html is empty, with empty text; unclosed and stray tags are read as browsers do for
-blocks; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+The trees are trained on TRAIN_PAGES of the pages that mark their main part (article or main) and have a
+paragraph, those with the smallest digest of page_id. Each is trained on as it is and rebuilt in LAYOUTS other
+layouts with plain elements, menus, notices, adverts, forms, related links and reader comments around and
+inside its text, so that blocks are not told by one element's name. A table without such a page is judged by
+trees trained on BUNDLED pages made by rule, in the same layouts.
+
+Defined results: a null html is empty, with empty text; a head, paragraph, list item or table cell whose end
+tag is left out ends where browsers end it, other unclosed elements with the page, and stray end tags are
+ignored; pages are read whole, however long; repeated rows are judged each; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from barspark.llm.common import settle, table
 from barspark.llm.html_tree import Page, block_features
 
 #: Bound of the training sample, layouts each page is rebuilt in, and the size of the model.
-TRAIN_PAGES, LAYOUTS, TREES, DEPTH = 400, 4, 40, 5
+TRAIN_PAGES, BUNDLED, LAYOUTS, TREES, DEPTH = 400, 120, 4, 40, 5
 #: No block's judgement counts more than this (log odds); this share of it is the judgement on the block above.
 MOST, FROM_ABOVE = 4.0, 0.35
 
@@ -103,6 +106,30 @@ def layouts(html: str, seed: int) -> list[str]:
     return out
 
 
+def bundled_pages(n: int = BUNDLED) -> list[tuple[str, int]]:
+    """(html, seed) of marked pages of made-up words, for tables that mark none."""
+    out = []
+    for seed in range(n):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))  # noqa: E731, B023
+        sentence = lambda: f"{' '.join(word() for _ in range(rng.randint(5, 16)))}.".capitalize()  # noqa: E731, B023
+        prose = lambda most: " ".join(sentence() for _ in range(rng.randint(1, most)))  # noqa: E731, B023
+        text = ""
+        for _ in range(int(2 ** rng.uniform(1, 6))):
+            kind = rng.random()
+            if kind < 0.7:
+                text += f"<p>{prose(6)}</p>"
+            elif kind < 0.8:
+                text += f"<h2>{word()} {word()}</h2><p>{prose(3)}"
+            elif kind < 0.9:
+                text += f"<p><b>{sentence()}</b><br>{prose(2)}</p>"
+            else:
+                text += rng.choice((f"<blockquote>{prose(2)}</blockquote>", f"<ul><li>{sentence()}</li><li>{sentence()}</li></ul>", f"<div><p>{prose(2)}</p></div>"))
+        menu = "".join(f'<li><a href="/{k}">{word()}</a></li>' for k in range(5))
+        out.append((f"<html><head><title>{word()}</title></head><body><nav><ul>{menu}</ul></nav><article><h1>{sentence()}</h1>{text}</article><footer><p>{sentence()}</p></footer></body></html>", seed))
+    return out
+
+
 def training_rows(pages: DataFrame) -> DataFrame:
     """(features, label) of the blocks of the sample; blocks that hold both kinds are left out."""
 
@@ -128,11 +155,11 @@ def training_rows(pages: DataFrame) -> DataFrame:
 def train(pages: DataFrame, n: int = TRAIN_PAGES) -> Trees:
     """The boosted trees as arrays: feature, threshold, left and right child, value (weight included)."""
     order = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    sample = pages.filter("html is not null").select("html", order.alias("o"), F.crc32(order).alias("seed")).orderBy("o", "html").limit(n)
+    marked = F.col("html").rlike(r"(?i)<(article|main)\b") & F.col("html").rlike(PARAGRAPH.pattern)
+    sample = pages.filter(marked).select("html", order.alias("o"), F.crc32(order).alias("seed")).orderBy("o", "html").limit(n)
     rows = settle(training_rows(sample), "html-train")
-    labels = {r["label"] for r in rows.select("label").distinct().collect()}
-    if labels != {0.0, 1.0}:
-        return []
+    if {r["label"] for r in rows.select("label").distinct().collect()} != {0.0, 1.0}:
+        rows = settle(training_rows(pages.sparkSession.createDataFrame(bundled_pages(), "html string, seed long")), "html-train")
     vectors = rows.coalesce(1).select(array_to_vector("features").alias("features"), "label")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=64).fit(vectors)
     return [flat(t._java_obj.rootNode(), w) for t, w in zip(model.trees, model.treeWeights, strict=True)]
@@ -167,8 +194,8 @@ def log_odds(trees: Trees, x: np.ndarray) -> np.ndarray:
     return 2 * total
 
 
-def main_text(page: Page, odds: np.ndarray, size: np.ndarray) -> str:
-    """Text of the blocks that the best agreeing choice keeps."""
+def decode(page: Page, odds: np.ndarray, size: np.ndarray) -> list[bool]:
+    """Blocks kept by the best choice in which all blocks above a kept one are kept."""
     n = len(page.tags)
     odds, root = np.clip(odds, -MOST, MOST), np.array([t in ("html", "body") for t in page.tags])
     above = np.maximum(page.parents, 0)
@@ -180,6 +207,12 @@ def main_text(page: Page, odds: np.ndarray, size: np.ndarray) -> str:
     keep = [True] * n
     for k in range(1, n):
         keep[k] = keep[page.parents[k]] and best[k] > 0
+    return keep
+
+
+def main_text(page: Page, odds: np.ndarray, size: np.ndarray) -> str:
+    """Text of the blocks that decoding keeps, in page order."""
+    keep = decode(page, odds, size)
     return " ".join(" ".join("".join(parts).split()) for block, parts in page.segments if keep[block]).strip()
 
 

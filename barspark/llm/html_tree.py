@@ -10,6 +10,8 @@ import numpy as np
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no part of the page as read.
 UNSEEN = frozenset("head script style noscript template iframe object svg math select option textarea button canvas audio video".split())
+#: Elements that may stand in the head; the first other one, and any text outside them, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -53,6 +55,8 @@ class Page(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in VOID:
             self.fresh = self.fresh or tag in ("br", "hr")
             return
@@ -95,6 +99,11 @@ class Page(HTMLParser):
             self.unseen += tag in UNSEEN
         self.open.append((tag, block))
 
+    def _end_head(self) -> None:
+        """End a head that is the innermost open element: its end tag may be left out."""
+        if self.open[-1][0] == "head":
+            self._pop(len(self.open) - 1)
+
     def _pop(self, upto: int) -> None:
         for tag, _ in self.open[upto:]:
             self.links -= tag == "a"
@@ -111,6 +120,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._end_head()
         if self.unseen:
             return
         block = self.open[-1][1]
