@@ -6,9 +6,13 @@ the minimiser, so equal windows meet in one bucket and a word is moved about thr
 task sends to a bucket is one compressed block. In the bucket, windows are sorted by hash, and runs of equal
 hashes are told apart by their words; all but the first place of a window are reported.
 
-Bucket sizes are counted over the whole corpus first. A bucket that holds far more than the others has a
-minimiser that very many documents share; its windows go one by one, by 128-bit hashes, to an ordinary
-aggregate and join, which partial sums and adaptive execution keep even. So no bucket outgrows a task.
+A first pass over the whole corpus counts bucket sizes and which minimisers came more than once. Where a
+minimiser came once nothing equal can stand, so its super-k-mer is not sent. This is read off a bit table of a
+fixed size (1 << SLOT_BITS): two minimisers may share a bit, which only sends more, and so it spares less the
+larger the corpus is. In the same way a bit table of DOC_SLOTS bits tells most documents that keep all their words,
+so that the last join shuffles the others only. A bucket that holds far more than the rest has a minimiser that very
+many documents share; its windows go one by one, by 128-bit hashes, to an ordinary aggregate and join, which
+partial sums and adaptive execution keep even. So no bucket outgrows a task.
 
 Defined results: a null text is an empty one; order is by doc_id (null first), then by a digest of the text,
 then by place; rows equal in doc_id and text are one document and get the same answer; an empty table gives
@@ -35,7 +39,11 @@ BUCKET_CHARS, HOT = 1_000_000, 4
 SPREAD = 3
 #: Packed characters a task holds before it sends them; word hashes (and counts) kept.
 HELD, CACHE = 24_000_000, 500_000
+#: Super-k-mers counted at a time.
+HELD_MINIMISERS = 4_000_000
 NO_ID = -(1 << 63)
+#: Bits of the table of minimisers, of one slice of it, and of the tables of documents that lose words and of hot buckets.
+SLOT_BITS, SLICE_BITS, DOC_SLOTS, HOT_SLOTS = 27, 20, 1 << 22, 1 << 20
 #: Bytes hashed at a time.
 STRETCH = 1 << 20
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -180,6 +188,52 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
+def slot_of(mini: np.ndarray) -> np.ndarray:
+    return ((mini * np.uint64(MULTIPLIERS[2])) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def bit_rows(slots: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(slice, compressed bits): minimisers that came once in some slots, then those that came more often."""
+    import zstandard
+
+    slots, often = np.unique(slots, return_counts=True)
+    cuts = np.flatnonzero(np.diff(slots >> SLICE_BITS)) + 1
+    for own, n in zip(np.split(slots, cuts), np.split(often, cuts), strict=True):
+        if len(own):
+            bits = np.zeros((2, 1 << SLICE_BITS), np.uint8)
+            bits[(n > 1).astype(np.int64), own & ((1 << SLICE_BITS) - 1)] = 1
+            yield int(own[0] >> SLICE_BITS), zstandard.ZstdCompressor(level=1).compress(np.packbits(bits, axis=1).tobytes())
+
+
+def met_again(bits: DataFrame) -> np.ndarray:
+    """The table of minimisers that came more than once, as packed bits."""
+    import zstandard
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, None
+        for batch in batches:
+            for part, raw in zip(batch["part"].tolist(), batch["bits"], strict=True):
+                new = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(2, -1)
+                if part != at:
+                    if at is not None:
+                        yield pd.DataFrame({"part": [at], "bits": [total[1].tobytes()]})
+                    at, total = part, new.copy()
+                else:
+                    total[1] |= new[1] | (total[0] & new[0])
+                    total[0] |= new[0]
+        if at is not None:
+            yield pd.DataFrame({"part": [at], "bits": [total[1].tobytes()]})
+
+    table = np.zeros((1 << (SLOT_BITS - SLICE_BITS), 1 << (SLICE_BITS - 3)), np.uint8)
+    for r in bits.repartition("part").sortWithinPartitions("part").mapInPandas(add, "part long, bits binary").toLocalIterator():
+        table[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.ravel()
+
+
+def has_bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
 def repeated_windows(rows: DataFrame, window: int, mer: int, bucket_chars: int, hot_factor: int) -> DataFrame:
     """(id, tie, first, number): runs of windows that also start earlier."""
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -189,29 +243,35 @@ def repeated_windows(rows: DataFrame, window: int, mer: int, bucket_chars: int,
         held, size = [], 0
 
         def summed() -> pd.DataFrame:
-            at, number = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 2
-            at, code = np.unique(at, return_inverse=True)
-            return pd.DataFrame({"bucket": at.astype(np.int64), "n": np.bincount(code, weights=number, minlength=len(at)).astype(np.int64)})
+            mini, number = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            at, code = np.unique(mini % np.uint64(buckets), return_inverse=True)
+            sizes = pd.DataFrame({"bucket": at.astype(np.int64), "n": np.bincount(code, weights=number, minlength=len(at)).astype(np.int64)})
+            both = pd.concat((sizes, pd.DataFrame(bit_rows(slot_of(mini)), columns=["part", "bits"])))[["bucket", "n", "part", "bits"]]
+            return both.astype({"bucket": "Int64", "n": "Int64", "part": "Int64"})
 
         for batch in batches:
             for text in batch["text"]:
                 hashes = split_words(text)[3]
                 if len(hashes) >= window:
                     _, number, mini = super_kmers(hashes, window, mer)
-                    held.append((mini % np.uint64(buckets), number))
+                    held.append((mini, number))
                     size += len(mini)
-                    if size > CACHE:
+                    if size > HELD_MINIMISERS:
                         yield summed()
                         held.clear()
                         size = 0
         yield summed()
 
-    sizes = settle(rows.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-sizes")
+    counted = settle(rows.select("text").mapInPandas(count, "bucket long, n long, part long, bits binary"), "minimisers")
+    sizes = settle(counted.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")), "bucket-sizes")
+    again = rows.sparkSession.sparkContext.broadcast(met_again(counted.filter("part is not null").select("part", "bits")))
     mean = (sizes.agg(F.sum("n")).first()[0] or 0) / buckets
-    # At most buckets / hot_factor of them can hold hot_factor times the mean.
-    hot = frozenset(r["bucket"] for r in sizes.filter(F.col("n") > hot_factor * max(mean, 1)).select("bucket").collect())
+    hot = sizes.filter(F.col("n") > hot_factor * max(mean, 1)).select((F.col("bucket") % HOT_SLOTS).alias("slot")).distinct()
+    # At most HOT_SLOTS; of more buckets than that, those that share a slot with a hot one are spread as well.
+    hot_slots = np.array(sorted(r["slot"] for r in hot.collect()), np.uint64)
 
-    hot_buckets = np.array(sorted(hot), np.uint64)
+    def is_hot(mini: np.ndarray) -> np.ndarray:
+        return np.isin(mini % np.uint64(buckets) % np.uint64(HOT_SLOTS), hot_slots)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heads, texts, size = [], [], 0
@@ -230,9 +290,8 @@ def repeated_windows(rows: DataFrame, window: int, mer: int, bucket_chars: int,
                 if len(starts) < window:
                     continue
                 first, number, mini = super_kmers(hashes, window, mer)
-                if len(hot_buckets):
-                    cold = ~np.isin(mini % np.uint64(buckets), hot_buckets)
-                    first, number, mini = first[cold], number[cold], mini[cold]
+                sent = has_bit(again.value, slot_of(mini)) & ~is_hot(mini)
+                first, number, mini = first[sent], number[sent], mini[sent]
                 begin, end = starts[first].tolist(), ends[first + number + window - 2].tolist()
                 texts += [joined[a:b] for a, b in zip(begin, end, strict=True)]
                 heads.append(np.stack((mini.view(np.int64), np.full(len(first), i), np.full(len(first), tie), first)))
@@ -265,7 +324,7 @@ def repeated_windows(rows: DataFrame, window: int, mer: int, bucket_chars: int,
     runs = "id long, tie long, first long, number long"
     blocks = rows.mapInPandas(send, "bucket long, block binary").repartition("bucket").sortWithinPartitions("bucket")
     later = blocks.mapInPandas(meet, runs)
-    if not hot:
+    if not len(hot_slots):
         return later
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,7 +335,7 @@ def repeated_windows(rows: DataFrame, window: int, mer: int, bucket_chars: int,
                 words = WORD.findall(text)
                 if len(words) < window:
                     continue
-                at = np.flatnonzero(np.isin(minimisers(split_words(text)[3], window, mer)[1] % np.uint64(buckets), hot_buckets))
+                at = np.flatnonzero(is_hot(minimisers(split_words(text)[3], window, mer)[1]))
                 if len(at):
                     h = hashes.of(words)
                     codes = [rolling(h, window, m)[at].view(np.int64) for m in MULTIPLIERS[1:]]
@@ -300,26 +359,52 @@ def substring_dedup(
     later = later.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(
         F.collect_list("first").alias("first"), F.collect_list(F.col("number")).alias("number")
     )
-    rows = rows.join(later, (F.col("id") == F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
+    later = settle(later, "later-runs")
+    slots = later.select(F.pmod(F.xxhash64("_id", "_tie"), F.lit(DOC_SLOTS)).alias("slot"))
+    # At most DOC_SLOTS / 64 words of bits.
+    words = slots.groupBy(F.expr("cast(slot div 64 as int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    losing = np.zeros(DOC_SLOTS // 64, np.int64)
+    for r in words.collect():
+        losing[r["at"]] = r["bits"]
+    losing = rows.sparkSession.sparkContext.broadcast(losing)
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("id", "tie"), F.lit(DOC_SLOTS)))
+
+    def loses(batch: pd.DataFrame) -> np.ndarray:
+        at = batch["slot"].to_numpy(np.int64)
+        return (losing.value[at >> 6] >> (at & 63)) & 1 == 1
+
+    def answer(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text"])
+        frame["doc_id"] = frame["doc_id"].astype("Int64").mask(frame["doc_id"] == NO_ID)
+        return frame
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[~loses(batch)]
+            words = [WORD.findall(text) for text in batch["text"]]
+            yield answer([(i, len(w), 0, " ".join(w)) for i, w in zip(batch["id"].tolist(), words, strict=True)])
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[loses(batch)][["id", "tie", "text"]]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, text, first, number in zip(batch["id"].tolist(), batch["text"], batch["first"], batch["number"], strict=True):
                 words = WORD.findall(text)
-                if first is None:
-                    out.append((i, len(words), 0, " ".join(words)))
-                    continue
                 step = np.zeros(len(words) + 1, np.int64)
-                np.add.at(step, first, 1)
-                np.add.at(step, np.asarray(first) + np.asarray(number) + window - 1, -1)
+                if first is not None:  # else only another document's bit is set
+                    np.add.at(step, first, 1)
+                    np.add.at(step, np.asarray(first) + np.asarray(number) + window - 1, -1)
                 keep = np.cumsum(step[:-1]) == 0
                 out.append((i, len(words), int(len(words) - keep.sum()), " ".join(compress(words, keep))))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64").mask(frame["doc_id"] == NO_ID)
-            yield frame
+            yield answer(out)
 
-    return rows.select("id", "text", "first", "number").mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    met = rows.mapInPandas(rest, "id long, tie long, text string")
+    met = met.join(later, (F.col("id") == F.col("_id")) & (F.col("tie") == F.col("_tie")), "left").select("id", "text", "first", "number")
+    return rows.select("id", "text", "slot").mapInPandas(whole, schema).unionByName(met.mapInPandas(cut, schema))
 
 
 def digest(out: DataFrame) -> DataFrame:
