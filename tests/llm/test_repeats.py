@@ -26,17 +26,21 @@ def test_substring_digest_and_empty_table(spark):
     assert substring_dedup(frame(spark, [])).count() == 0
 
 
-def lines_kept(rows, length=3):
+def lines_kept(rows, length=3, enough=50):
     """Plain answer for doc_ids that differ: lines removed, and the text left."""
     first, out = {}, {}
     for i, t in sorted((r[0], r[1]) for r in rows):
         lines = (t or "").split("\n")
         at = [k for k, x in enumerate(lines) if words(x)]
         gone = set()
-        for k in range(len(at) - length + 1):
-            run = tuple(lines[p] for p in at[k : k + length])
-            if first.setdefault(run, (i, k)) != (i, k):
-                gone.update(range(k, k + length))
+        for k in range(len(at)):
+            for size in range(1, min(length, len(at) - k) + 1):
+                run = tuple(lines[p] for p in at[k : k + size])
+                if size == length or sum(len(words(x)) for x in run) >= enough:
+                    if first.setdefault(run, (i, k)) != (i, k):
+                        gone.update(range(k, k + size))
+        if len(at) < length and first.setdefault(("whole", *(lines[p] for p in at)), i) != i:
+            gone.update(range(len(at)))
         drop = {at[k] for k in gone} | {p for k in gone if k + 1 in gone for p in range(at[k], at[k + 1])}
         out[i] = (len(at), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in drop))
     return out
@@ -45,8 +49,13 @@ def lines_kept(rows, length=3):
 def test_lines_against_plain_search(spark):
     rows = [r for r in odd_rows() if r[0] is not None and r[0] not in (400, 403, 404)]
     rows += [(500, "a b\nc\nd\ne\n\nf\ng\nx", None, None), (501, "q\nc\nd\n\ne\nf\ny\nf\n\ng\nx", None, None), (502, "z\n" * 9, None, None), (503, "a b\nc\nq", None, None)]
+    long, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "uv")
+    rows += [(510, long, None, None), (511, long, None, None), (512, f"x\n{long}\ny", None, None), (513, f"{other}\nz z\n{long}", None, None), (514, f"q\n{other}\nz z", None, None)]
+    rows += [(520, "short", None, None), (521, "short", None, None), (522, "short\nother", None, None), (523, "short\n\nother\n", None, None), (524, f"a b\n{long[:90]}\nw", None, None)]
+    rows += [(530, "\n".join(f"l{k}" for k in range(3000)), None, None), (531, "\n".join(f"l{k}" if k % 1000 else "m" for k in range(-5, 3000)), None, None)]
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in line_dedup(frame(spark, rows)).collect()}
     assert got == lines_kept(rows)
+    assert got[511] == (1, 1, "") and got[512][1] == 1 and got[521] == (1, 1, "") and got[522][1] == 0 and got[523][1] == 2
 
 
 def test_lines_of_odd_rows(spark):
