@@ -138,9 +138,9 @@ _RANK = """v AS (SELECT probability, sum(label) AS pos, sum(1 - label) AS neg FR
   rq AS (SELECT sum(pos * (neg_below + neg / 2)) / any_value(p_all * n_all) AS roc_auc,
   sum(pos / p_all * tp / (tp + fp)) AS pr_auc, sum(pos / p_all * (tp / (tp + fp) +
   CASE WHEN tp - pos + fp - neg > 0 THEN (tp - pos) / (tp - pos + fp - neg) ELSE 1 END) / 2) AS pr_auc_trapezoid FROM c)"""
-for _name, _small in (("ranking_quality", None), ("ranking_quality_ranges", False)):
+for _name in ("ranking_quality", "ranking_quality_ranges"):
     query(_name, f"WITH {P_SQL}, {_RANK} SELECT * FROM rq", "roc_auc pr_auc pr_auc_trapezoid")(
-        lambda spark, d, s=_small: T.ranking_quality(predictions(spark, d), small=s)
+        lambda spark, d: T.ranking_quality(predictions(spark, d))
     )
 
 _FIXED = "threshold roc_auc pr_auc lowest_selected win_rate precision recall f1"

@@ -125,19 +125,29 @@ def _stopped(spark, d):
     return K.stop_trading(trades, K.equity_curve(p, trades, 1000.0), 0.002).select("symbol", "ts", "exit_ts", "pnl")
 
 
-_COMPOUND = f"""{_taken_sql()}, {_PNL},
-    nm AS (SELECT symbol, ts, row_number() OVER {O} AS i, 0.01::DOUBLE / close AS u, exit_price - close AS mv FROM pn),
-    cp AS (SELECT symbol, i, ts, u, 1000.0::DOUBLE AS capital, 1000.0::DOUBLE * (1 + u * mv) - 0.8::DOUBLE AS rest FROM nm WHERE i = 1
-    UNION ALL SELECT nm.symbol, nm.i, nm.ts, nm.u, cp.rest, cp.rest * (1 + nm.u * nm.mv) - 0.8::DOUBLE FROM cp JOIN nm ON nm.symbol = cp.symbol AND nm.i = cp.i + 1)
+def _compound_sql(initial: float, per_price: float, cost: float) -> str:
+    rest = lambda c: f"CASE WHEN {c} > 0 THEN greatest(0.0::DOUBLE, {c} * (1 + nm.u * nm.mv) - {cost}::DOUBLE) ELSE 0.0::DOUBLE END"
+    return f"""{_taken_sql()}, {_PNL},
+    nm AS (SELECT symbol, ts, row_number() OVER {O} AS i, {per_price}::DOUBLE / close AS u, exit_price - close AS mv FROM pn),
+    cp AS (SELECT symbol, i, ts, u, {initial}::DOUBLE AS capital, {rest(f"{initial}::DOUBLE")} AS rest FROM nm WHERE i = 1
+    UNION ALL SELECT nm.symbol, nm.i, nm.ts, nm.u, cp.rest, {rest("cp.rest")} FROM cp JOIN nm ON nm.symbol = cp.symbol AND nm.i = cp.i + 1)
     SELECT symbol, ts, capital, u * capital AS position_size, rest - capital AS pnl FROM cp"""
 
+
 for _name, _rows in (("compound_trades", None), ("compound_trades_chunked", 30)):
-    query(_name, _COMPOUND, "capital position_size pnl")(
+    query(_name, _compound_sql(1000.0, 0.01, 0.8), "capital position_size pnl")(
         lambda spark, d, r=_rows: K.compound_trades(_taken(spark, d), 0.01 / F.col("entry_price"), 1000.0, chunk_rows=r).select(
             "symbol", "ts", "capital", "position_size", "pnl"
         )
     )
 
+
+# Costs eat the capital up: the trade that takes the last of it is the last one.
+@query("compound_trades_ruin", _compound_sql(10.0, 0.5, 1.3), "capital position_size pnl")
+def _ruined(spark, d):
+    return K.compound_trades(_taken(spark, d), 0.5 / F.col("entry_price"), 10.0, cost=1.3).select("symbol", "ts", "capital", "position_size", "pnl")
+
+
 _SCN = [(s.name, s.spread, s.commission, s.threshold) for s in K.stress_scenarios(0.3)]
 
 
@@ -438,11 +448,9 @@ _QT = "0.05, 0.25, 0.5, 0.9"
 _QUANT_SQL = " UNION ALL ".join(
     f"SELECT l_returnflag, {p}::DOUBLE AS prob, quantile_cont(l_extendedprice, {p}) AS q FROM lineitem GROUP BY 1" for p in _QT.split(", ")
 )
-for _name, _small in (("exact_quantiles", True), ("exact_quantiles_ranges", False)):
+for _name in ("exact_quantiles", "exact_quantiles_ranges"):
     query(_name, _QUANT_SQL, "q", 4)(
-        lambda spark, d, s=_small: A.exact_quantiles(
-            table(spark, d, "lineitem"), "l_extendedprice", [0.05, 0.25, 0.5, 0.9], keys=["l_returnflag"], small=s
-        )
+        lambda spark, d: A.exact_quantiles(table(spark, d, "lineitem"), "l_extendedprice", [0.05, 0.25, 0.5, 0.9], keys=["l_returnflag"])
     )
 
 

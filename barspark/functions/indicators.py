@@ -69,7 +69,7 @@ def _cumulative(bars: DataFrame, step: Callable[[Study], str], out: str, keys, t
     study = Study()
     study.out("_step", step(study))
     stepped = study.apply(bars, keys=keys, ts=ts, chunk_rows=chunk_rows)
-    return running(stepped, {out: ("sum", "_step")}, keys=keys, ts=ts, chunk_rows=chunk_rows).drop("_step")
+    return running(stepped, {out: ("sum", "_step")}, keys=keys, ts=ts).drop("_step")
 
 
 def obv(bars: DataFrame, *, out: str = "obv", keys=("symbol",), ts="ts", chunk_rows=None) -> DataFrame:

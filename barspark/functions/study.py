@@ -14,7 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.plans.chunks import Line, chunked_rows
+from barspark.plans.chunks import UNIT, Line, chunked_rows
+from barspark.plans.series import Series
 
 Expr = Callable[[Line], Column]
 EPS = 1e-9
@@ -100,13 +101,18 @@ class Study:
         ts: str = "ts",
         order: Sequence[str] | None = None,
         chunk_rows: int | None = None,
-        unit: str = "day",
+        unit: str = UNIT,
     ) -> DataFrame:
         rows = chunked_rows(
             df, keys=keys, ts=ts, order=order, back=self.back, ahead=self.ahead, chunk_rows=chunk_rows, unit=unit
         )
         return rows.trim(self.on(rows.df, rows.line))
 
+    def on_series(self, series: Series) -> Series:
+        """Add the columns on a written cut that has all its rows."""
+        rows = series.chunks(self.back, self.ahead)
+        return series.having(rows.trim(self.on(rows.df, rows.line)))
+
     # -- building blocks ---------------------------------------------------------------------------
     def prev(self, col: str, k: int = 1) -> str:
         return self.put(f"_{col}_lag{k}", [col], lambda line: line.prev(col, k), back=k)

@@ -179,7 +179,7 @@ def compare_runs(
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         one = df.withColumn("_g", F.lit(1))
-        placed = with_row_index(one, keys=("_g",), ts=ts, order=(ts, *tie), index="n_trade", total="_n", chunk_rows=chunk_rows)
+        placed = with_row_index(one, keys=("_g",), ts=ts, order=(ts, *tie), index="n_trade", total="_n")
         return placed.select("n_trade", *[F.col(c).alias(f"{tag}_{c}") for c in (ts, *cols, "pnl", "is_win")])
 
     both = side(old, "old").join(side(new, "new"), "n_trade", "full_outer")

@@ -12,7 +12,7 @@ from barspark.functions.calendar import cyclic
 from barspark.functions.study import EPS, Study
 from barspark.operators.bars import asof_align, bucket_start, prev_day, rollup_bars
 from barspark.operators.quality import clean_features, with_values
-from barspark.plans.chunks import Line, decide
+from barspark.plans.chunks import Line
 
 # Column order of the five-minute set.
 M5_COLUMNS = (
@@ -100,7 +100,6 @@ def m5_context(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Six columns from coarse bars, brought to the fine rows (plus ``atr_m5`` in price units)."""
-    chunk_rows = decide(bars, chunk_rows)
     coarse = rollup_bars(bars, width, keys=keys, ts=ts)
     s = Study()
     # The first true range here is high - low: only later bars have a previous close.
@@ -139,7 +138,6 @@ def day_features(
 
     Chunks hold whole days, so day windows stay inside a chunk and need no further shuffle.
     """
-    chunk_rows = decide(bars, chunk_rows)
     close = F.col("close")
 
     def gap(level: Column) -> Column:
@@ -230,7 +228,6 @@ def m5_features(
     ``rolled=True`` says the input already has the fine width.
     """
     flags = flags or FeatureFlags()
-    chunk_rows = decide(bars, chunk_rows)
     m5 = bars if rolled else rollup_bars(bars, fine, keys=keys, ts=ts)
     s = Study()
     atr, norm = s.atr(14), s.atr_norm(14)
@@ -357,7 +354,6 @@ def m1_features(
     """
     if indicator_grid not in ("coarse", "fine"):
         raise ValueError(f"unknown indicator_grid: {indicator_grid}")
-    chunk_rows = decide(bars, chunk_rows)
     base = bars.withColumns(
         {c: F.when(F.col(c) == 0, F.lit(EPS)).otherwise(F.col(c)) for c in ("high", "low", "close")}
     )

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barspark.functions.study import Study
-from barspark.plans.chunks import decide
 from barspark.plans.scan import exact_quantiles, running
+from barspark.plans.series import Series, cut_series
 
 # Standard deviations below this count as no risk.
 NO_RISK = 1e-10
@@ -20,10 +20,14 @@ def returns(
     equity: DataFrame, *, keys: Keys = ("symbol",), ts: str = "ts", order: Keys = ("seq",), chunk_rows: int | None = None
 ) -> DataFrame:
     """Add ``ret``: change of equity to the point before, 0 at the first point."""
+    return _change().apply(equity, keys=keys, ts=ts, order=order, chunk_rows=chunk_rows)
+
+
+def _change() -> Study:
     s = Study()
     change = s.roc("equity", 1)
     s.calc("ret", [change], lambda: F.coalesce(F.col(change), F.lit(0.0)), keep=True)
-    return s.apply(equity, keys=keys, ts=ts, order=order, chunk_rows=chunk_rows)
+    return s
 
 
 def check_equity(equity: DataFrame) -> DataFrame:
@@ -74,26 +78,35 @@ def sortino_ratio(rets: DataFrame, rf: float = 0.0, ppy: float = 252, *, ret: st
 
 def drawdowns(equity: DataFrame, *, keys: Keys = ("symbol",), ts: str = "ts", chunk_rows: int | None = None) -> DataFrame:
     """Add ``peak`` (highest equity so far) and ``drawdown`` = (peak - equity) / peak."""
-    run = running(equity, {"peak": ("max", "equity")}, keys=keys, ts=ts, order=("seq",), chunk_rows=chunk_rows)
+    run = running(equity, {"peak": ("max", "equity")}, keys=keys, ts=ts, order=("seq",))
     return run.withColumn("drawdown", (F.col("peak") - F.col("equity")) / F.col("peak"))
 
 
+def _topped(line: Series, ts: str) -> Series:
+    """Add ``_top``: the highest equity up to the row, with the first number and time it was reached at."""
+    point = F.struct("equity", (-F.col("seq")).alias("s"), F.col(ts).alias("at"))
+    return line.having(line.df.withColumn("_point", point)).running({"_top": ("max", "_point")})
+
+
+def _worst(ts: str) -> Column:
+    """The largest fall from a peak with both places; of equal ones the first."""
+    fall = (F.col("_top.equity") - F.col("equity")) / F.col("_top.equity")
+    return F.max(F.struct(fall.alias("fall"), (-F.col("seq")).alias("s"), F.col(ts).alias("at"), F.col("_top.at").alias("peak_at")))
+
+
+def _drawdown_columns(worst: str) -> list[Column]:
+    lost = F.col(f"{worst}.fall") > 0
+    return [
+        F.col(f"{worst}.fall").alias("max_drawdown"),
+        F.when(lost, F.col(f"{worst}.peak_at")).alias("peak_ts"),
+        F.when(lost, F.col(f"{worst}.at")).alias("trough_ts"),
+    ]
+
+
 def max_drawdown(equity: DataFrame, *, keys: Keys = ("symbol",), ts: str = "ts", chunk_rows: int | None = None) -> DataFrame:
     """Largest drawdown with its peak and trough times; the first of equal ones; nulls when there is none."""
-    dd = drawdowns(equity, keys=keys, ts=ts, chunk_rows=decide(equity, chunk_rows))
-    worst = dd.groupBy(*keys).agg(
-        F.max(F.struct("drawdown", (-F.col("seq")).alias("s"), F.col(ts).alias("at"), "peak")).alias("_w")
-    )
-    # The peak time is the first point that reached the peak value of the trough.
-    top = dd.where(F.col("equity") == F.col("peak")).groupBy(*keys, "peak").agg(F.min(F.struct("seq", F.col(ts).alias("at"))).alias("_p"))
-    lost = F.col("_w.drawdown") > 0
-    joined = worst.withColumn("peak", F.col("_w.peak")).join(top, [*keys, "peak"], "left")
-    return joined.select(
-        *keys,
-        F.col("_w.drawdown").alias("max_drawdown"),
-        F.when(lost, F.col("_p.at")).alias("peak_ts"),
-        F.when(lost, F.col("_w.at")).alias("trough_ts"),
-    )
+    line = cut_series(equity.select(*keys, ts, "seq", "equity"), keys=keys, order=("seq",), part_rows=chunk_rows)
+    return _topped(line, ts).df.groupBy(*keys).agg(_worst(ts).alias("_w")).select(*keys, *_drawdown_columns("_w"))
 
 
 def calmar_ratio(
@@ -170,17 +183,19 @@ def all_metrics(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """One row per group with every return, risk and trade metric."""
-    rows = decide(equity, chunk_rows)
-    rets = returns(equity, keys=keys, ts=ts, chunk_rows=rows)
-    curve = rets.groupBy(*keys).agg(
+    line = cut_series(equity.select(*keys, ts, "seq", "equity"), keys=keys, order=("seq",), part_rows=chunk_rows)
+    line = _topped(_change().on_series(line), ts)
+    rets = line.df.select(*keys, "ret")
+    curve = line.df.groupBy(*keys).agg(
         _total(initial).alias("total_return"),
         F.count(F.lit(1)).alias("_n"),
         _sharpe("ret", rf, ppy).alias("sharpe_ratio"),
         _sortino("ret", rf, ppy).alias("sortino_ratio"),
         (F.stddev_samp("ret") * ppy**0.5).alias("volatility"),
         (F.avg("ret") * ppy).alias("_a"),
+        _worst(ts).alias("_w"),
     )
-    dd = max_drawdown(equity, keys=keys, ts=ts, chunk_rows=rows)
+    curve = curve.select("*", *_drawdown_columns("_w")).drop("_w")
     tail = conditional_var(rets, 0.95, keys=keys)
     done = trades.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_trades"),
@@ -189,7 +204,7 @@ def all_metrics(
         _avg_win_loss().alias("avg_win_loss_ratio"),
     )
     on = list(keys)
-    joined = curve.join(dd, on).join(tail, on).join(done, on, "left")
+    joined = curve.join(tail, on).join(done, on, "left")
     return joined.select(
         *keys,
         "total_return",
@@ -224,7 +239,7 @@ def quick_metrics(
 
     Population deviation, and the drawdown is measured against the highest equity of the whole run.
     """
-    run = running(rows, {"_peak": ("max", "equity")}, keys=keys, ts=ts, chunk_rows=decide(rows, chunk_rows))
+    run = running(rows, {"_peak": ("max", "equity")}, keys=keys, ts=ts)
     r = F.coalesce(F.col(ret), F.lit(0.0))
     facts = run.groupBy(*keys).agg(
         F.max_by("equity", ts).alias("final_equity"),

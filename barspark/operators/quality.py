@@ -135,7 +135,7 @@ def clean_features(
         raise ValueError(f"unknown mode: {mode}")
     cols = list(cols)
     real = features.withColumns({c: F.when(_finite(F.col(c).cast("double")), F.col(c)) for c in cols})
-    filled = running(real, {f"_f_{c}": ("last", c) for c in cols}, keys=keys, ts=ts, chunk_rows=chunk_rows)
+    filled = running(real, {f"_f_{c}": ("last", c) for c in cols}, keys=keys, ts=ts)
     out = filled.withColumns({c: F.col(f"_f_{c}") for c in cols}).drop(*[f"_f_{c}" for c in cols])
     return out.fillna(0, subset=cols) if mode == "zero" else with_values(out, cols)
 

@@ -94,7 +94,7 @@ def sequences(
     marked = features.withColumn("_own", keep)
     # The cap is decided on narrow rows first; only the rows that survive carry a vector.
 
-    placed = with_row_index(marked, keys=keys, ts=ts, index="_i", total="_n", chunk_rows=chunk_rows)
+    placed = with_row_index(marked, keys=keys, ts=ts, index="_i", total="_n")
     own = placed.where(F.col("_own") & (F.col("_i") >= window - 1)).select(*keys, ts)
     newest = newest_rows(own, max_windows, ts, *keys).withColumn("_new", F.lit(True))
     capped = marked.drop("_own").join(newest, [*keys, ts], "left")

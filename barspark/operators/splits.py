@@ -60,7 +60,7 @@ def split_by_fraction(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add ``split`` by position in each series: idx < floor(train*n), < floor(val*n), rest."""
-    placed = with_row_index(rows, keys=keys, ts=ts, chunk_rows=chunk_rows)
+    placed = with_row_index(rows, keys=keys, ts=ts)
     first, second = _cuts(train, val)
     return placed.withColumn(out, _part(F.col("idx"), first, second)).drop("idx", "n")
 
@@ -83,7 +83,7 @@ def purge(
     """
     if anchor not in ("start", "end"):
         raise ValueError(f"unknown anchor: {anchor}")
-    placed = with_row_index(rows, keys=keys, ts=ts, chunk_rows=chunk_rows)
+    placed = with_row_index(rows, keys=keys, ts=ts)
     first, second = _cuts(train, val)
     i = F.col("idx")
     reach = window - 1
@@ -114,7 +114,7 @@ def ts_folds(
 
     Fold bounds are arithmetic on the row's position, so no fold table is joined.
     """
-    placed = with_row_index(rows, keys=keys, ts=ts, chunk_rows=chunk_rows)
+    placed = with_row_index(rows, keys=keys, ts=ts)
     n, i = F.col("n"), F.col("idx")
     size = F.lit(test_size).cast("long") if test_size else F.floor(n / (k + 1)).cast("long")
 
@@ -147,7 +147,7 @@ def walk_forward(
     chunk_rows: int | None = None,
 ) -> DataFrame:
     """Rolling folds by row count; ``inner=0.7`` splits the training rows into train and val."""
-    placed = with_row_index(rows, keys=keys, ts=ts, chunk_rows=chunk_rows)
+    placed = with_row_index(rows, keys=keys, ts=ts)
     i, n = F.col("idx"), F.col("n")
     last = F.floor((n - train - test) / step)
     lo = F.greatest(F.ceil((i - train - test + 1) / step), F.lit(0))

@@ -200,12 +200,12 @@ def optimize_threshold(
     return _choose(table, tiers).withColumn("score", value)
 
 
-def ranking_quality(df: DataFrame, *, p: str = "probability", y: str = "label", small: bool | None = None) -> DataFrame:
+def ranking_quality(df: DataFrame, *, p: str = "probability", y: str = "label") -> DataFrame:
     """One row: ROC-AUC (average ranks), average precision and trapezoid PR-AUC; null with one class."""
     marked = df.select(
         F.col(p).alias("_p"), F.col(y).cast("long").alias("_pos"), (1 - F.col(y)).cast("long").alias("_neg")
     )
-    scan = value_scan(marked, "_p", ["_pos", "_neg"], small=small)
+    scan = value_scan(marked, "_p", ["_pos", "_neg"])
     total = marked.agg(F.struct(F.sum("_pos").alias("p"), F.sum("_neg").alias("n")).alias("t"))
     s = scan.withColumn("_t", total.scalar())
     pos, neg, P, N = F.col("_pos"), F.col("_neg"), F.col("_t.p"), F.col("_t.n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,10 +17,11 @@ from barspark.functions.sizing import transaction_cost
 from barspark.functions.study import Study
 from barspark.operators.labels import first_exit
 from barspark.operators.splits import walk_forward_days
-from barspark.plans.chunks import SLICE, decide, join_on, slice_counts, slice_of, with_row_index
+from barspark.plans.chunks import join_on, with_row_index
 from barspark.plans.scan import running
-
-NEVER = np.iinfo(np.int64).min
+from barspark.plans.series import IDX, STRETCH, cut_series
+from barspark.plans.steps import PIECE, STATE, entry_states, pieces_of
+from barspark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -46,13 +48,12 @@ def candidate_signals(predictions: DataFrame, min_probability: float = 0.5) -> D
 # -- one position at a time ------------------------------------------------------------------------
 
 
-def _walk(starts: np.ndarray, ends: np.ndarray, days: np.ndarray, cap: int, free_at: int) -> np.ndarray:
-    """Positions taken when the previous trade ends at ``free_at``."""
+def _walk(starts: np.ndarray, ends: np.ndarray, days: np.ndarray, cap: int, free_at: int, day: int, used: int) -> np.ndarray:
+    """Positions taken when one may be opened from ``free_at``, and ``used`` were on ``day``."""
     n = len(starts)
     next_day = np.searchsorted(days, days, side="right")
     taken = []
     i = int(np.searchsorted(starts, free_at, side="left"))
-    day, used = None, 0
     while i < n:
         if day != days[i]:
             day, used = days[i], 0
@@ -65,35 +66,6 @@ def _walk(starts: np.ndarray, ends: np.ndarray, days: np.ndarray, cap: int, free
     return np.asarray(taken, dtype=np.int64)
 
 
-def _ends_by_start(starts: np.ndarray, ends: np.ndarray, days: np.ndarray, cap: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each first position up to ``reach``: when the last trade of this chunk ends.
-
-    Worked out from the back, so every state is solved once: state (i, u) is "take i as trade u of its day".
-    """
-    n = len(starts)
-    after = np.maximum(np.searchsorted(starts, ends, side="left"), np.arange(n) + 1)
-    next_day = np.searchsorted(days, days, side="right")
-    width = max(cap, 1)
-    final = np.empty((n, width), dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        j = int(after[i])
-        for u in range(width):
-            if j >= n:
-                final[i, u] = ends[i]
-                continue
-            if not cap or days[j] != days[i]:
-                final[i, u] = final[j, 0]
-                continue
-            if u + 1 < cap:
-                final[i, u] = final[j, u + 1]
-                continue
-            k = max(j, int(next_day[i]))
-            final[i, u] = final[k, 0] if k < n else ends[i]
-    first = int(np.searchsorted(starts, reach, side="left"))
-    last = min(first, n - 1)
-    return starts[: last + 1], final[: last + 1, 0]
-
-
 def _micros(col: str) -> Column:
     return F.unix_micros(F.col(col).cast("timestamp"))
 
@@ -111,77 +83,39 @@ def non_overlapping(
 
     The exit bar may re-enter; a signal without entry or exit time is no trade. ``max_per_day`` counts taken trades by entry date.
 
-    The choice depends on the past only through the time the last trade ends. Each chunk of whole days
-    therefore first reports, for every way it can be entered, when its last trade ends; these short
-    tables are chained per key, and then all chunks are walked in parallel with their true entry.
+    The choice depends on the past only through a small state, so stretches of the series are solved and combined
+    as step functions (``plans/steps.py``), and then all are walked in parallel from the state they begin with.
     """
     keys = tuple(keys)
     cap = int(max_per_day or 0)
-    rows = decide(trades, chunk_rows)
     base = trades.where(F.col(ts).isNotNull() & F.col(exit_ts).isNotNull()).withColumns(
-        {"_s": _micros(ts), "_e": _micros(exit_ts), "_d": F.unix_date(F.to_date(ts))}
+        {"_s": _micros(ts), "_e": _micros(exit_ts), "_d": F.unix_date(F.to_date(ts)).cast("long")}
     )
+    names = trades.columns
+    placed = cut_series(base, keys=keys, order=("_s", "_e"), part_rows=chunk_rows).df.withColumnRenamed(STRETCH, "at")
     key_fields = [base.schema[k] for k in keys]
-    out_schema = T.StructType([f for f in base.schema.fields if f.name not in ("_s", "_e", "_d")])
-    names = out_schema.fieldNames()
-
-    if rows == 0:
-
-        def take_all(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["_s", "_e"], kind="stable")
-            picked = _walk(pdf["_s"].to_numpy(), pdf["_e"].to_numpy(), pdf["_d"].to_numpy(), cap, NEVER)
-            return pdf.iloc[picked][names]
-
-        return base.groupBy(*keys).applyInPandas(take_all, out_schema)
+    piece = T.StructType([*key_fields, T.StructField("at", T.LongType()), *[T.StructField(c, T.LongType()) for c in PIECE]])
 
-    cuts = slice_counts(base, keys, ts).select(*keys, SLICE, F.floor(F.col("_start") / rows).alias("_chunk"))
-    placed = join_on(base.withColumn(SLICE, slice_of(ts, "day")), cuts, [*keys, SLICE]).drop(SLICE)
-
-    # How late any earlier trade can still be open when a chunk begins bounds the entries to solve.
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    reach = placed.groupBy(*keys, "_chunk").agg(F.max("_e").alias("_m")).select(
-        *keys, "_chunk", F.coalesce(F.max("_m").over(before), F.lit(NEVER)).alias("_reach")
-    )
-    table_schema = T.StructType(
-        [*key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_upto", T.LongType()), T.StructField("_end", T.LongType())]
-    )
+    def arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray]]:
+        pdf = pdf.sort_values(IDX, kind="stable")
+        return pdf, [pdf[c].to_numpy(np.int64) for c in ("_s", "_e", "_d")]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_s", "_e"], kind="stable")
-        upto, end = _ends_by_start(
-            pdf["_s"].to_numpy(), pdf["_e"].to_numpy(), pdf["_d"].to_numpy(), cap, int(pdf["_reach"].iloc[0])
-        )
-        # Neighbouring entries with the same end are one line of the table.
-        edge = np.append(end[1:] != end[:-1], True)
-        out = pd.DataFrame({"_upto": upto[edge], "_end": end[edge]})
-        for k in (*keys, "_chunk"):
+        pdf, (starts, ends, days) = arrays(pdf)
+        out = pd.DataFrame(pieces_of(starts, ends, days, cap), columns=list(PIECE))
+        for k in (*keys, "at"):
             out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_chunk", "_upto", "_end"]]
-
-    solved = join_on(placed, reach, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(solve, table_schema)
-    entry_schema = T.StructType([*key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_free", T.LongType())])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        free, lines = NEVER, []
-        for chunk, part in pdf.sort_values(["_chunk", "_upto"]).groupby("_chunk", sort=True):
-            lines.append((chunk, free))
-            at = int(np.searchsorted(part["_upto"].to_numpy(), free, side="left"))
-            if at < len(part):
-                free = int(part["_end"].iloc[at])
-        out = pd.DataFrame(lines, columns=["_chunk", "_free"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_chunk", "_free"]]
-
-    entries = solved.groupBy(*keys).applyInPandas(chain, entry_schema)
+        return out[[*keys, "at", *PIECE]]
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_s", "_e"], kind="stable")
-        free = int(pdf["_free"].iloc[0])
-        picked = _walk(pdf["_s"].to_numpy(), pdf["_e"].to_numpy(), pdf["_d"].to_numpy(), cap, free)
-        return pdf.iloc[picked][names]
+        pdf, (starts, ends, days) = arrays(pdf)
+        state = [int(pdf[f"_from_{c}"].iloc[0]) for c in STATE]
+        return pdf.iloc[_walk(starts, ends, days, cap, *state)][names]
 
-    return join_on(placed, entries, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(take, out_schema)
+    solved = placed.select(*keys, "at", IDX, "_s", "_e", "_d").groupBy(*keys, "at").applyInPandas(solve, piece)
+    before = entry_states(cut_lineage(solved), key_fields)
+    before = before.select(*keys, "at", *[F.col(c).alias(f"_from_{c}") for c in STATE])
+    return join_on(placed, before, [*keys, "at"]).groupBy(*keys, "at").applyInPandas(take, base.select(*names).schema)
 
 
 def first_k_per_day(
@@ -235,12 +169,11 @@ def take_trades(
 
     ``group`` adds columns such as a window or strategy id to the one-position rule.
     """
-    rows = decide(predictions, chunk_rows)
     signals = candidate_signals(predictions, min_probability)
     if "entry_price" not in signals.columns:
         signals = signals.join(bars.select(*keys, ts, F.col("close").alias("entry_price")), [*keys, ts])
     exits = first_exit(signals, bars, sl=sl, tp=tp, tie=tie, price="entry_price", keys=keys, ts=ts)
-    taken = non_overlapping(exits, max_per_day=max_per_day, keys=(*keys, *group), ts=ts, chunk_rows=rows)
+    taken = non_overlapping(exits, max_per_day=max_per_day, keys=(*keys, *group), ts=ts, chunk_rows=chunk_rows)
     return trade_pnl(taken, size=size, cost=cost, ts=ts)
 
 
@@ -258,38 +191,37 @@ def equity_curve(
 ) -> DataFrame:
     """(keys, seq, ts, equity): the start, then one point per prediction that no open trade skips."""
     keys = tuple(keys)
-    rows = decide(predictions, chunk_rows)
     points = predictions.select(*keys, ts).join(
         trades.select(*keys, ts, F.col("exit_ts").alias("_x"), F.col("pnl").alias("_p")), [*keys, ts], "left"
     )
-    run = running(points, {"_open": ("max", "_x"), "_won": ("sum", "_p")}, keys=keys, ts=ts, chunk_rows=rows)
-    kept = run.where(F.col("_x").isNotNull() | F.col("_open").isNull() | (F.col(ts) >= F.col("_open")))
-    line = kept.select(*keys, ts, (F.lit(initial) + F.coalesce("_won", F.lit(0.0))).alias("equity"))
-    numbered = with_row_index(line, keys=keys, ts=ts, index="_i", total="_n", chunk_rows=rows)
-    body = numbered.select(*keys, (F.col("_i") + 1).alias("seq"), ts, "equity")
-    start = predictions.groupBy(*keys).agg(F.min(ts).alias(ts)).select(
-        *keys, F.lit(0).cast("long").alias("seq"), ts, F.lit(float(initial)).alias("equity")
-    )
-    return start.unionByName(body)
+    line = cut_series(points, keys=keys, order=(ts,), part_rows=chunk_rows)
+    run = line.running({"_open": ("max", "_x"), "_won": ("sum", "_p")})
+    kept = F.col("_x").isNotNull() | F.col("_open").isNull() | (F.col(ts) >= F.col("_open"))
+    numbered = run.having(run.df.withColumn("_kept", F.coalesce(kept, F.lit(False)).cast("long"))).running({"seq": ("sum", "_kept")})
+    equity = F.lit(float(initial)) + F.coalesce("_won", F.lit(0.0))
+    body = numbered.df.where("_kept = 1").select(*keys, "seq", ts, equity.alias("equity"))
+    return _started(line.df, body, initial, keys, ts)
+
+
+def _started(rows: DataFrame, body: DataFrame, initial: float, keys: Sequence[str], ts: str) -> DataFrame:
+    """The curve with its first point: the initial capital at the earliest time."""
+    start = rows.groupBy(*keys).agg(F.min(ts).alias(ts))
+    return start.select(*keys, F.lit(0).cast("long").alias("seq"), ts, F.lit(float(initial)).alias("equity")).unionByName(body)
 
 
 def trade_equity(
     trades: DataFrame, initial: float = 100_000.0, *, keys: Sequence[str] = ("symbol",), ts: str = "ts", chunk_rows: int | None = None
 ) -> DataFrame:
     """(keys, seq, ts, equity): initial plus the running P&L, one point per trade."""
-    rows = decide(trades, chunk_rows)
-    run = running(trades.select(*keys, ts, "pnl"), {"_won": ("sum", "pnl")}, keys=keys, ts=ts, chunk_rows=rows)
-    placed = with_row_index(run, keys=keys, ts=ts, index="_i", total="_n", chunk_rows=rows)
-    body = placed.select(*keys, (F.col("_i") + 1).alias("seq"), ts, (F.lit(initial) + F.col("_won")).alias("equity"))
-    start = trades.groupBy(*keys).agg(F.min(ts).alias(ts)).select(
-        *keys, F.lit(0).cast("long").alias("seq"), ts, F.lit(float(initial)).alias("equity")
-    )
-    return start.unionByName(body)
+    line = cut_series(trades.select(*keys, ts, "pnl"), keys=keys, order=(ts,), part_rows=chunk_rows)
+    equity = F.lit(float(initial)) + F.col("_won")
+    body = line.running({"_won": ("sum", "pnl")}).df.select(*keys, (F.col(IDX) + 1).alias("seq"), ts, equity.alias("equity"))
+    return _started(line.df, body, initial, keys, ts)
 
 
 def _breach(equity: DataFrame, limit: float, keys: Sequence[str], ts: str, chunk_rows: int | None) -> DataFrame:
     """(keys, _stop, _at): number and time of the first point whose fall from the peak reaches the limit."""
-    run = running(equity, {"_peak": ("max", "equity")}, keys=keys, ts=ts, order=("seq",), chunk_rows=decide(equity, chunk_rows))
+    run = running(equity, {"_peak": ("max", "equity")}, keys=keys, ts=ts, order=("seq",))
     fallen = F.try_divide(F.col("_peak") - F.col("equity"), F.col("_peak")) >= limit
     first = run.where(fallen).groupBy(*keys).agg(F.min(F.struct("seq", ts)).alias("_b"))
     return first.select(*keys, F.col("_b.seq").alias("_stop"), F.col(f"_b.{ts}").alias("_at"))
@@ -324,26 +256,85 @@ def compound_trades(
 ) -> DataFrame:
     """Sizes that follow the capital: add capital (before the trade), position_size, gross_pnl, transaction_cost and pnl.
 
-    ``per_capital`` is the lots per unit of capital, as risk and Kelly sizing give before their bounds. A trade
-    then maps capital c to c * g - cost, so the capital along the trades is A * (initial - sum(cost / A)) with A
-    the running product of g: two running sums, with no trade waiting for the one before. From a trade on that
-    loses all capital, capital and sizes are 0.
+    ``per_capital`` is the lots per unit of capital, as risk and Kelly sizing give before their bounds. A trade maps
+    the capital c > 0 to max(0, c * g - cost), and 0 to 0: who has nothing left trades no more. Such maps combine
+    to max(0, c * a - b), so every stretch of trades is one pair (a, b), kept as fractions with a common power of two; the
+    pairs of a series, one per stretch, are chained, and then all stretches are walked in parallel.
+
+    A trade without prices or size leaves the capital as it is, with null size and result. Capital and what follows
+    from it are null where they pass the range of a double.
     """
-    cost = transaction_cost() if cost is None else cost
-    rows = decide(trades, chunk_rows)
+    cost = float(transaction_cost() if cost is None else cost)
+    if cost < 0:
+        raise ValueError("cost must not be negative")
+    keys = tuple(keys)
+    names = trades.columns
     grown = trades.withColumn("_u", per_capital.cast("double"))
     grown = grown.withColumn("_g", 1 + F.col("_u") * (F.col("exit_price") - F.col(entry)))
-    grown = grown.withColumn("_lg", F.when(F.col("_g") > 0, F.log("_g"))).withColumn("_lost", (F.col("_g") <= 0).cast("int"))
-    grown = running(grown, {"_a": ("sum", "_lg"), "_ruin": ("max", "_lost")}, keys=keys, ts=ts, chunk_rows=rows)
-    grown = grown.withColumn("_c", F.lit(float(cost)) * F.exp(-F.col("_a")))
-    grown = running(grown, {"_paid": ("sum", "_c")}, keys=keys, ts=ts, chunk_rows=rows)
-    after = F.exp("_a") * (F.lit(float(initial)) - F.col("_paid"))
-    capital = F.when(F.col("_ruin") > 0, F.lit(0.0)).otherwise(F.try_divide(after + cost, F.col("_g")))
-    out = grown.withColumn("capital", capital).withColumn("position_size", F.col("_u") * F.col("capital"))
-    out = out.withColumn("gross_pnl", F.col("position_size") * (F.col("exit_price") - F.col(entry)))
-    paid = F.when(F.col("_ruin") > 0, F.lit(0.0)).otherwise(F.lit(float(cost)))
-    out = out.withColumn("transaction_cost", paid).withColumn("pnl", F.col("gross_pnl") - F.col("transaction_cost"))
-    return out.drop("_u", "_g", "_lg", "_lost", "_a", "_ruin", "_c", "_paid")
+    line = cut_series(grown, keys=keys, order=(ts,), part_rows=chunk_rows).df
+    key_fields = [grown.schema[k] for k in keys]
+    pair = T.StructType([*key_fields, T.StructField(STRETCH, T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("_a", "_b")], T.StructField("_p", T.LongType())])
+    state = T.StructType([*key_fields, T.StructField(STRETCH, T.LongType()), T.StructField("_m", T.DoubleType()), T.StructField("_p", T.LongType())])
+
+    def named(pdf: pd.DataFrame, data: dict, order: Sequence[str]) -> pd.DataFrame:
+        out = pd.DataFrame(data)
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, *order]]
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, p = 1.0, 0.0, 0
+        for g in pdf.sort_values(IDX)["_g"].dropna().tolist():
+            a, b, p = _scaled(a * max(g, 0.0), b * max(g, 0.0) + _shifted(cost, -p), p)
+        return named(pdf, {STRETCH: [int(pdf[STRETCH].iloc[0])], "_a": [a], "_b": [b], "_p": [p]}, [STRETCH, "_a", "_b", "_p"])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines, (m, _, p) = [], _scaled(float(initial), 0.0, 0)
+        pdf = pdf.sort_values(STRETCH)
+        for at, a, b, q in zip(*(pdf[c].tolist() for c in (STRETCH, "_a", "_b", "_p")), strict=True):
+            lines.append((at, m, p))
+            # The pair is at 2 ** q, and the capital m at 2 ** p.
+            m, _, p = _scaled(max(0.0, m * a - _shifted(b, -p)), 0.0, p + q)
+        at, m, p = zip(*lines, strict=True)
+        return named(pdf, {STRETCH: at, "_m": m, "_p": p}, [STRETCH, "_m", "_p"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(IDX, kind="stable")
+        m, p, held = float(pdf["_m"].iloc[0]), int(pdf["_p"].iloc[0]), []
+        for g in pdf["_g"].tolist():
+            held.append(_shifted(m, p))
+            if g == g:
+                m, _, p = _scaled(max(0.0, m * max(g, 0.0) - _shifted(cost, -p)), 0.0, p)
+        return pdf.assign(capital=held)[[*names, "_u", "_g", "capital"]]
+
+    solved = line.select(*keys, STRETCH, IDX, "_g").groupBy(*keys, STRETCH).applyInPandas(pairs, pair)
+    before = solved.groupBy(*keys).applyInPandas(chain, state)
+    walked = T.StructType([*(f for f in grown.schema.fields if f.name != "capital"), T.StructField("capital", T.DoubleType())])
+    out = join_on(line, before, [*keys, STRETCH]).groupBy(*keys, STRETCH).applyInPandas(walk, walked)
+    finite = lambda c: F.when(F.abs(c) < float("inf"), c)
+    out = out.withColumn("capital", finite(F.col("capital")))
+    out = out.withColumn("position_size", finite(F.col("_u") * F.col("capital")))
+    out = out.withColumn("gross_pnl", finite(F.col("position_size") * (F.col("exit_price") - F.col(entry))))
+    paid = F.when(F.col("_g").isNotNull(), F.when(F.col("capital") > 0, F.lit(cost)).otherwise(F.lit(0.0)))
+    # No more is lost than there is.
+    out = out.withColumn("transaction_cost", paid).withColumn(
+        "pnl", F.when(F.col("gross_pnl").isNotNull(), F.greatest(F.col("gross_pnl") - F.col("transaction_cost"), -F.col("capital")))
+    )
+    return out.drop("_u", "_g")
+
+
+def _shifted(x: float, power: int) -> float:
+    """x * 2 ** power, infinite beyond the range of a double."""
+    try:
+        return math.ldexp(x, power)
+    except OverflowError:
+        return math.inf
+
+
+def _scaled(a: float, b: float, power: int) -> tuple[float, float, int]:
+    """The pair with a power of two moved out of it, so that the larger of the two is between 1/2 and 1."""
+    shift = math.frexp(max(a, b))[1]
+    return math.ldexp(a, -shift), math.ldexp(b, -shift), power + shift
 
 
 def compound_equity(
@@ -357,7 +348,7 @@ def compound_equity(
 ) -> DataFrame:
     """Add ``equity`` = initial times the product of (1 + return); a null return carries forward."""
     logs = returns.withColumn("_lg", F.log1p(F.coalesce(F.col(r), F.lit(0.0))))
-    run = running(logs, {"_sum": ("sum", "_lg")}, keys=keys, ts=ts, chunk_rows=decide(returns, chunk_rows))
+    run = running(logs, {"_sum": ("sum", "_lg")}, keys=keys, ts=ts)
     return run.withColumn("equity", F.lit(float(initial)) * F.exp("_sum")).drop("_lg", "_sum")
 
 
@@ -377,10 +368,9 @@ def stress(
     Scenarios are a short literal array exploded per row, so the rows are read and ordered once.
     """
 
-    rows = decide(bars, chunk_rows)
     s = Study()
     s.out("_after", s.put("_nx", ["close"], lambda line: line.next("close"), ahead=1))
-    base = s.apply(bars, keys=keys, ts=ts, chunk_rows=rows)
+    base = s.apply(bars, keys=keys, ts=ts, chunk_rows=chunk_rows)
     lits = F.array(
         *[
             F.struct(
@@ -404,7 +394,7 @@ def stress(
     buy = (1 + F.col("spread") / 2) * (1 + F.col("commission"))
     ret = F.when(signal, F.try_divide(F.col("_after") * sell, F.col("close") * buy) - 1)
     slim = each.select("scenario", *keys, ts, ret.alias("ret"))
-    return compound_equity(slim, initial, keys=("scenario", *keys), ts=ts, chunk_rows=rows)
+    return compound_equity(slim, initial, keys=("scenario", *keys), ts=ts)
 
 
 def walk_forward_trades(
@@ -443,7 +433,7 @@ def scan_signals(
     additionally applies the one-position rule (the rows then need ``exit_ts``).
     """
     context = max(min_candles, window + 200) * fine_per_bar
-    placed = with_row_index(scored, keys=keys, ts=ts, index="_i", total="_n", chunk_rows=chunk_rows)
+    placed = with_row_index(scored, keys=keys, ts=ts, index="_i", total="_n")
     looked = placed.where(
         (F.col("_i") >= context - 1) & ((F.col("_i") - (context - 1)) % step == 0) & in_session(ts, session)
     ).drop("_i", "_n")

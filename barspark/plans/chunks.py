@@ -6,8 +6,8 @@ halo), so any frame that reaches at most ``back`` rows back and ``ahead`` rows f
 ``(symbol, chunk)``. The cut comes from the row count per (key, slice), a small table: its length is
 bounded by the calendar, not by the number of rows.
 
-When Catalyst's own size estimate says the whole input is small, one chunk is enough and the extra
-join is skipped.
+The plan is the same for every size: a series shorter than a chunk is one chunk. An operator of several steps
+starts from a written cut instead, see ``series.py``.
 """
 
 from __future__ import annotations
@@ -18,24 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barspark.session import estimated_bytes
-
-SMALL_BYTES = 64 * 1024 * 1024
 CHUNK_ROWS = 500_000
 CHUNK = "_chunk"
 CORE = "_core"
 SLICE = "_slice"
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    return estimated_bytes(df) <= limit
-
-
-def decide(df: DataFrame, chunk_rows: int | None) -> int:
-    """Chunk size for an operator of several steps, judged once on its input: 0 is one chunk per key."""
-    if chunk_rows is not None:
-        return chunk_rows
-    return 0 if is_small(df) else CHUNK_ROWS
+#: Rows are counted per hour, so that a day of very many rows is cut as well.
+UNIT = "hour"
 
 
 @dataclass(frozen=True)
@@ -73,12 +61,9 @@ class ChunkedRows:
 
     df: DataFrame
     line: Line
-    chunked: bool
 
     def trim(self, df: DataFrame) -> DataFrame:
         """Drop the halo copies and the helper columns."""
-        if not self.chunked:
-            return df
         return df.where(F.col(CORE)).drop(CHUNK, CORE)
 
 
@@ -95,7 +80,7 @@ def slice_of(ts: str, unit: str) -> Column:
     return F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
 
 
-def slice_counts(df: DataFrame, keys: Sequence[str], ts: str, unit: str = "day") -> DataFrame:
+def slice_counts(df: DataFrame, keys: Sequence[str], ts: str, unit: str = UNIT) -> DataFrame:
     """Rows per (key, slice) with the number of rows before the slice (``_start``) and in all (``_total``)."""
     counts = (
         df.select(*keys, slice_of(ts, unit).alias(SLICE))
@@ -123,16 +108,11 @@ def chunked_rows(
     back: int = 0,
     ahead: int = 0,
     chunk_rows: int | None = None,
-    unit: str = "day",
+    unit: str = UNIT,
 ) -> ChunkedRows:
-    """Cut every series into chunks of about ``chunk_rows`` rows plus halo.
-
-    ``chunk_rows=None`` decides by the size estimate; ``0`` forces one chunk per key.
-    """
+    """Cut every series into chunks of about ``chunk_rows`` rows (CHUNK_ROWS by default) plus halo."""
     order = tuple(order or (ts,))
     keys = tuple(keys)
-    if chunk_rows == 0 or (chunk_rows is None and is_small(df)):
-        return ChunkedRows(df, Line(keys, order), False)
     rows = max(chunk_rows or CHUNK_ROWS, 1)
     own = F.floor(F.col("_start") / rows)
     first = own
@@ -153,7 +133,7 @@ def chunked_rows(
         .withColumn(CORE, F.col(CHUNK) == F.col("_own"))
         .drop(SLICE, "_own", "_to")
     )
-    return ChunkedRows(spread, Line((*keys, CHUNK), order), True)
+    return ChunkedRows(spread, Line((*keys, CHUNK), order))
 
 
 def with_row_index(
@@ -164,24 +144,15 @@ def with_row_index(
     order: Sequence[str] | None = None,
     index: str = "idx",
     total: str = "n",
-    unit: str = "day",
-    chunk_rows: int | None = None,
+    unit: str = UNIT,
 ) -> DataFrame:
     """0-based position of each row in its series and the length of the series.
 
-    Large input: position = rows in earlier slices + row number inside the slice, so no task sees more
-    than one slice of one key.
+    Position = rows in earlier slices + row number inside the slice, so no task sees more than one slice of
+    one key.
     """
     order = tuple(order or (ts,))
     keys = tuple(keys)
-    if chunk_rows == 0 or (chunk_rows is None and is_small(df)):
-        part = Window.partitionBy(*keys)
-        return df.withColumns(
-            {
-                index: (F.row_number().over(part.orderBy(*order)) - 1).cast("long"),
-                total: F.count(F.lit(1)).over(part),
-            }
-        )
     cuts = slice_counts(df, keys, ts, unit).select(*keys, SLICE, "_start", F.col("_total").alias(total))
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     return (

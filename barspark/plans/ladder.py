@@ -116,7 +116,7 @@ def forward_bars(
     """
     keys = tuple(keys)
     cols = ["idx", ts, "open", "high", "low", "close"]
-    placed = with_row_index(bars.select(*keys, *cols[1:]), keys=keys, ts=ts, index="idx", total="n_bars", chunk_rows=chunk_rows)
+    placed = with_row_index(bars.select(*keys, *cols[1:]), keys=keys, ts=ts, index="idx", total="n_bars")
     blocks = placed.groupBy(*keys, F.floor(F.col("idx") / reach).alias("_blk")).agg(
         F.array_sort(F.collect_list(F.struct(*cols))).alias("_rows")
     )

@@ -1,7 +1,7 @@
-"""Running totals, running extremes, carry-forward and exact quantiles in two levels.
+"""Running totals, running extremes, carry-forward, ranks and exact quantiles in two levels.
 
-First level inside a slice (or value range), second level over one row per slice, then the carry is
-joined back. Small inputs use one plain window.
+First level inside a slice of time (or a stretch of ordered values), second level over one row per slice,
+then the carry is joined back.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.plans.chunks import SLICE, is_small, join_on, slice_of
+from barspark.plans.chunks import SLICE, UNIT, join_on, slice_of
+from barspark.plans.series import cut_series
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -23,24 +24,17 @@ def running(
     keys: Sequence[str] = ("symbol",),
     ts: str = "ts",
     order: Sequence[str] | None = None,
-    unit: str = "day",
-    chunk_rows: int | None = None,
+    unit: str = UNIT,
 ) -> DataFrame:
     """Add ``out -> (kind, column)`` with kind sum, max, min or last (last non-null value so far)."""
     order = tuple(order or (ts,))
     keys = tuple(keys)
-    plain = chunk_rows == 0 or (chunk_rows is None and is_small(df))
-    part = keys if plain else (*keys, SLICE)
-    if not plain:
-        df = df.withColumn(SLICE, slice_of(ts, unit))
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(SLICE, slice_of(ts, unit))
+    w = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
     def local(kind: str, col: str) -> Column:
         return F.last(col, ignorenulls=True).over(w) if kind == "last" else _AGG[kind](col).over(w)
 
-    if plain:
-        return df.withColumns({out: local(kind, col) for out, (kind, col) in columns.items()})
-
     rank = F.struct(*order)
     totals = df.groupBy(*keys, SLICE).agg(
         *[
@@ -74,54 +68,14 @@ def running(
     return joined.withColumns({out: merged(out, kind) for out, (kind, _) in columns.items()}).drop(SLICE, *helpers)
 
 
-def place_in(value: Column, edges: Column, stride: int = 20) -> Column:
-    """Number of ``edges`` (sorted array) that are <= value, in about 2*sqrt(n) comparisons."""
-    coarse = F.filter(edges, lambda e, i: (i % stride == 0) & (e <= value))
-    full = F.size(coarse)
-    fine = F.filter(F.slice(edges, F.greatest(full - 1, F.lit(0)) * stride + 1, F.lit(stride)), lambda e: e <= value)
-    return F.when(full == 0, F.lit(0)).otherwise((full - 1) * stride + F.size(fine))
-
-
-def value_scan(
-    df: DataFrame,
-    value: str,
-    sums: Sequence[str],
-    *,
-    keys: Sequence[str] = (),
-    ranges: int = 256,
-    small: bool | None = None,
-) -> DataFrame:
+def value_scan(df: DataFrame, value: str, sums: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:
     """One row per (keys, value): the summed columns and, as ``<col>_below``, their sum over smaller values.
 
-    Equal values are merged before any shuffle on order, so a hot value is one row.
+    Equal values are merged before they are dealt to ranges, so a hot value is one row; the ranges follow the rows.
     """
-    keys = tuple(keys)
-    if small is None:
-        small = is_small(df)
     merged = df.groupBy(*keys, value).agg(*[F.sum(c).alias(c) for c in sums])
-    if small:
-        below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return merged.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(below), F.lit(0)) for c in sums})
-    probs = [i / ranges for i in range(1, ranges)]
-    edges = merged.groupBy(*keys).agg(
-        F.array_distinct(F.array_sort(F.percentile_approx(value, probs, 10_000))).alias("_edges")
-    )
-    if keys:
-        staged = join_on(merged, edges, keys)
-    else:
-        staged = merged.withColumn("_edges", edges.scalar())
-    staged = staged.withColumn("_range", place_in(F.col(value), F.col("_edges"))).drop("_edges")
-    totals = staged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_c_{c}") for c in sums]
-    )
-    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = staged.withColumns({f"_l_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    out = join_on(local, carry, [*keys, "_range"])
-    return out.withColumns({f"{c}_below": F.col(f"_l_{c}") + F.col(f"_c_{c}") for c in sums}).drop(
-        "_range", *[f"_{p}_{c}" for c in sums for p in "lc"]
-    )
+    below = cut_series(merged, keys=keys, order=(value,)).running({f"{c}_below": ("sum", c) for c in sums}, before=True).rows
+    return below.withColumns({f"{c}_below": F.coalesce(f"{c}_below", F.lit(0)) for c in sums})
 
 
 def exact_quantiles(
@@ -130,7 +84,6 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     keys: Sequence[str] = (),
-    small: bool | None = None,
 ) -> DataFrame:
     """Long table (keys, prob, q): linearly interpolated exact quantiles.
 
@@ -140,11 +93,7 @@ def exact_quantiles(
     keys = tuple(keys)
     probs = [float(p) for p in probs]
     data = df.where(F.col(value).isNotNull())
-    if small is None:
-        small = is_small(df)
-    ranked = value_scan(
-        data.select(*keys, value).withColumn("_one", F.lit(1)), value, ["_one"], keys=keys, small=small
-    )
+    ranked = value_scan(data.select(*keys, value).withColumn("_one", F.lit(1)), value, ["_one"], keys=keys)
     totals = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranked = join_on(ranked, totals, keys) if keys else ranked.withColumn("_n", totals.scalar())
     want = F.array(*[F.lit(p) for p in probs])

@@ -8,7 +8,6 @@ import pytest
 
 import __spark_entry__ as entry
 from barspark.functions.calendar import in_session, on_days
-from barspark.plans.chunks import is_small
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,4 +35,3 @@ def test_bad_arguments(spark):
         in_session("ts", "custom")
     with pytest.raises(ValueError):
         on_days("ts", ["Someday"])
-    assert is_small(spark.range(10))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barspark.functions import indicators as I
@@ -13,6 +14,7 @@ from barspark.operators.labels import barrier_label
 from barspark.operators.sequences import sequence
 from barspark.plans.chunks import chunked_rows, with_row_index
 from barspark.plans.scan import exact_quantiles, running, value_scan
+from barspark.plans.series import cut_series
 from tests.conftest import same, to_pandas, to_spark, walk
 
 
@@ -45,16 +47,20 @@ def test_chunks_stay_small(bars):
 
 
 def test_row_index(bars):
-    a = to_pandas(with_row_index(bars, chunk_rows=100))
-    b = to_pandas(with_row_index(bars, chunk_rows=0))
+    a = to_pandas(with_row_index(bars))
+    w = Window.partitionBy("symbol")
+    b = to_pandas(bars.withColumn("idx", F.row_number().over(w.orderBy("ts")) - 1).withColumn("n", F.count("*").over(w)))
     assert (a["idx"] == b["idx"]).all() and (a["n"] == b["n"]).all()
 
 
 def test_running_kinds(bars):
     holes = bars.withColumn("x", F.when(F.col("volume") % 3 == 0, F.col("close")))
     spec = {"total": ("sum", "volume"), "top": ("max", "close"), "low": ("min", "close"), "seen": ("last", "x")}
-    a, b = (to_pandas(running(holes, spec, chunk_rows=r)) for r in (64, 0))
-    same(a, b, list(spec))
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    kinds = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+    want = to_pandas(holes.withColumns({out: kinds[kind](c).over(w) for out, (kind, c) in spec.items()}))
+    same(to_pandas(running(holes, spec)), want, list(spec))
+    same(to_pandas(cut_series(holes, part_rows=64).running(spec).rows), want, list(spec))
 
 
 def test_feature_sets_equal(bars):
@@ -83,7 +89,7 @@ def test_ema_is_the_recursion(bars):
 def test_quantiles_with_hot_value(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id") * 1.5).alias("v"), (F.col("id") % 2).alias("k"))
     probs = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
-    got = exact_quantiles(df, "v", probs, keys=["k"], small=False).toPandas()
+    got = exact_quantiles(df, "v", probs, keys=["k"]).toPandas()
     data = df.toPandas()
     for _, r in got.iterrows():
         assert abs(np.quantile(data[data.k == r.k].v, r.prob) - r.q) < 1e-9
@@ -92,5 +98,5 @@ def test_quantiles_with_hot_value(spark):
 
 def test_value_scan_ranges(spark):
     df = spark.range(2000).select((F.hash("id") % 500).cast("double").alias("v"), F.lit(1).alias("one"))
-    a, b = (to_pandas(value_scan(df, "v", ["one"], small=s), "v") for s in (False, True))
-    assert (a["one_below"] == b["one_below"]).all() and a["one"].sum() == 2000
+    got = to_pandas(value_scan(df, "v", ["one"]), "v")
+    assert (got["one_below"] == got["one"].cumsum() - got["one"]).all() and got["one"].sum() == 2000

@@ -27,21 +27,20 @@ def view(df):
 
 @pytest.mark.parametrize("chunk", [0, 1])
 def test_every_row_stays(rows, chunk):
-    index = with_row_index(rows, chunk_rows=chunk)
+    index = with_row_index(rows)
     assert view(index.select("close", "idx", "n")) == [(1.0, 1, 3), (2.0, 2, 3), (3.0, 0, 2), (4.0, 0, 3), (5.0, 1, 2)]
-    total = running(rows, {"sum": ("sum", "close")}, chunk_rows=chunk)
+    total = running(rows, {"sum": ("sum", "close")})
     assert view(total.select("close", "sum")) == [(1.0, 5.0), (2.0, 7.0), (3.0, 3.0), (4.0, 4.0), (5.0, 8.0)]
     study = Study()
     study.out("before", study.prev("close"))
     assert view(study.apply(rows, chunk_rows=chunk).select("close", "before")) == [(1.0, 4.0), (2.0, 1.0), (3.0, None), (4.0, None), (5.0, 3.0)]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_scans_keep_the_group_without_key(rows, small):
+def test_scans_keep_the_group_without_key(rows):
     ones = rows.withColumn("one", F.lit(1))
-    got = value_scan(ones, "close", ["one"], keys=["symbol"], small=small)
+    got = value_scan(ones, "close", ["one"], keys=["symbol"])
     assert view(got.select("symbol", "close", "one_below")) == [("A", 1.0, 0), ("A", 2.0, 1), ("A", 4.0, 2), (None, 3.0, 0), (None, 5.0, 1)]
-    assert view(exact_quantiles(rows, "close", [0.5], keys=["symbol"], small=small)) == [("A", 0.5, 2.0), (None, 0.5, 4.0)]
+    assert view(exact_quantiles(rows, "close", [0.5], keys=["symbol"])) == [("A", 0.5, 2.0), (None, 0.5, 4.0)]
 
 
 @pytest.mark.parametrize("chunk", [0, 1])

@@ -162,7 +162,44 @@ def test_sizes_follow_the_capital_until_it_is_lost(spark):
         capital, want = 1000.0, []
         for m in moves:
             lost = 1 + 0.01 * m <= 0
-            want.append(0.0 if lost or capital == 0 else capital)
-            capital = 0.0 if lost or capital == 0 else capital * (1 + 0.01 * m) - 2.0
+            want.append(capital)  # the trade that takes the rest is the last one
+            capital = 0.0 if lost or capital == 0 else max(0.0, capital * (1 + 0.01 * m) - 2.0)
         assert [round(r["capital"], 8) for r in got] == [round(c, 8) for c in want]
         assert [round(r["pnl"], 8) for r in got][:2] == [round(1000 * 0.05 - 2, 8), round(want[1] * -0.03 - 2, 8)]
+
+
+def _compounded(spark, moves, initial, cost, chunk):
+    rows = [("A", k, 100.0, 100.0 + m) for k, m in enumerate(moves)]
+    trades = spark.createDataFrame(rows, "symbol string, k long, entry_price double, exit_price double")
+    trades = trades.withColumn("ts", F.timestamp_seconds(F.col("k") * 60).cast("timestamp_ntz"))
+    return K.compound_trades(trades, F.lit(0.01), initial, cost=cost, chunk_rows=chunk).orderBy("ts").collect()
+
+
+@pytest.mark.parametrize("chunk", [None, 3])
+def test_costs_alone_take_the_capital(spark, chunk):
+    got = _compounded(spark, [0.0] * 5, 10.0, 5.8, chunk)
+    assert [round(r["capital"], 9) for r in got] == [10.0, 4.2, 0.0, 0.0, 0.0]
+    assert [round(r["pnl"], 9) for r in got] == [-5.8, -4.2, 0.0, 0.0, 0.0]
+    assert all(r["position_size"] >= 0 for r in got)
+
+
+@pytest.mark.parametrize(("move", "cost"), [(-50.0, 0.0), (-50.0, 1.0), (100.0, 1.0), (300.0, 0.0)])
+def test_long_runs_are_never_nan(spark, move, cost):
+    """Thousands of losing or winning trades: capital against the plain recursion, null beyond the range of a double."""
+    capital = 1000.0
+    for r in _compounded(spark, [move] * 2000, 1000.0, cost, 300):
+        if capital == float("inf"):
+            assert r["capital"] is None
+        else:
+            assert r["capital"] == pytest.approx(capital, rel=1e-9, abs=1e-300)
+        assert all(r[c] is None or abs(r[c]) < float("inf") for c in ("capital", "position_size", "gross_pnl", "pnl"))
+        capital = max(0.0, capital * (1 + 0.01 * move) - cost) if capital > 0 else 0.0
+
+
+def test_mixed_run_against_the_recursion(spark):
+    rng = np.random.default_rng(4)
+    moves = rng.normal(0, 4, 500).tolist()
+    capital = 50.0
+    for r, m in zip(_compounded(spark, moves, 50.0, 0.3, 40), moves, strict=True):
+        assert r["capital"] == pytest.approx(capital, rel=1e-9, abs=1e-9)
+        capital = max(0.0, capital * (1 + 0.01 * m) - 0.3) if capital > 0 else 0.0
