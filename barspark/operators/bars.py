@@ -122,7 +122,6 @@ def asof_last(
         keys=keys,
         ts="_at",
         order=("_at", "_side"),
-        chunk_rows=chunk_rows,
     )
     return filled.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_seen.{c}").alias(c) for c in cols])
 

@@ -62,7 +62,7 @@ def sequence(
     full = F.size("_w") == window
     if keep is not None:
         full = full & F.col("_keep")
-    ready = cut.trim(built.where(full)) if cut.chunked else built.where(full)
+    ready = cut.trim(built.where(full))
     return ready.withColumn(out, F.flatten(F.transform("_w", lambda x: x["b"]))).drop("_w", "_keep")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.plans.scan import exact_quantiles, place_in, value_scan
+from barspark.plans.scan import exact_quantiles, value_scan
 
 # Grid bounds and size, and the threshold used when nothing qualifies.
 GRID_SIZE, GRID_MIN, GRID_MAX, FALLBACK = 401, 0.001, 0.99, 0.5
@@ -88,25 +88,18 @@ def sweep(
 ) -> DataFrame:
     """Trades, tp, fp, precision, recall, F1 and expected value for every threshold in one pass.
 
-    The day rank does not depend on the threshold, so the cap is one filter; each row is then counted
-    at the highest threshold it passes and the counts are summed from the top of the grid.
+    The day rank does not depend on the threshold, so the cap is one filter. Thresholds and rows are ranked
+    together: what a threshold selects is all rows less those below it. The grid may be of any length.
     """
     rows = daily_topk(df, cap, p=p, ts=ts, tie=tie) if cap else df
-    grid = thresholds.agg(F.array_sort(F.collect_set("threshold")).alias("_t"))
-    counted = (
-        rows.withColumn("_grid", grid.scalar())
-        .withColumn("_slot", place_in(F.col(p), F.col("_grid")))
-        .groupBy("_slot")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_tp"))
-    )
-    slots = grid.select(F.posexplode("_t").alias("_i", "threshold")).withColumn("_slot", F.col("_i") + 1)
-    # At most a few hundred grid rows from here on.
-    from_top = Window.orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    zero, one = (F.lit(n).cast("long") for n in (0, 1))
+    values = rows.select(F.col(p).cast("double").alias("threshold"), one.alias("_n"), F.col(y).cast("long").alias("_tp"), zero.alias("_grid"))
+    grid = thresholds.where("threshold is not null").select(F.col("threshold").cast("double").alias("threshold"), zero.alias("_n"), zero.alias("_tp"), one.alias("_grid"))
+    scan = value_scan(values.unionByName(grid), "threshold", ["_n", "_tp", "_grid"])
+    whole = scan.agg(F.struct(F.sum("_n").alias("n"), F.coalesce(F.sum("_tp"), zero).alias("tp")).alias("a"))
     facts = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(y), F.lit(0)).alias("pos")).alias("s"))
-    summed = slots.join(counted, "_slot", "left").select(
-        "threshold",
-        F.coalesce(F.sum("_n").over(from_top), F.lit(0)).alias("trades"),
-        F.coalesce(F.sum("_tp").over(from_top), F.lit(0)).alias("tp"),
+    summed = scan.where("_grid > 0").withColumn("_a", whole.scalar()).select(
+        "threshold", (F.col("_a.n") - F.col("_n_below")).alias("trades"), (F.col("_a.tp") - F.col("_tp_below")).alias("tp")
     )
     out = (
         summed.withColumn("_s", facts.scalar())
