@@ -1,10 +1,10 @@
 """Mix sources to target weights with a low-discrepancy schedule of equal blocks.
 
 Each source's documents are put in a shuffled order (by a digest of doc_id) and their words form a stream
-that is cut into blocks of equally many words (the last may be shorter). The mix is a sequence of slots.
-Slot j is the point j * golden ratio (mod 1), mapped through the cumulative weights to a source, so every
-stretch of the mix is near its weights. A source's r-th slot takes its r-th block; after the last block it
-starts again, three passes at most.
+that is cut into blocks of equally many words (the last may be shorter). As many whole passes as a target holds
+are taken exactly; what is left of it is a part of one more pass and is scheduled. The schedule is a sequence of
+slots: slot j is the point j * golden ratio (mod 1), mapped through the cumulative weights of what is left to a
+source, so every stretch of the schedule is near these weights. A source's r-th slot takes its r-th block.
 
 Orders and offsets come from two levels (inside a bucket, then over about sqrt(rows) buckets), so no source
 is ordered in one task. All schedule arithmetic is on integers, so reruns agree.
@@ -63,11 +63,15 @@ def _targets(sources: DataFrame, max_passes: int) -> DataFrame:
     return sources.withColumn("target", F.least(most.cast("double"), F.lit(level) * F.col("weight")))
 
 
-def _schedule(sources: DataFrame, block: int, max_passes: int) -> DataFrame:
-    """(sid, block, times): how often each block of each source is taken."""
-    size, target = F.col("source_size"), F.col("target")
-    passes = F.floor(target / size)
-    slots = F.when(size > 0, passes * F.col("blocks") + (target - passes * size) / block).otherwise(0.0)
+def _passes() -> Column:
+    """Whole passes that a source's target holds."""
+    return F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+
+
+def _schedule(sources: DataFrame, block: int) -> DataFrame:
+    """(sid, block, times): the blocks of each source that are taken once more than in its whole passes."""
+    size = F.col("source_size")
+    slots = F.when(size > 0, (F.col("target") - _passes() * size) / F.least(F.lit(block), size)).otherwise(0.0)
     units = sources.withColumn("blocks", F.ceil(size / block)).withColumn("units", F.floor(slots * UNIT + 0.5).cast("long"))
     units = units.filter("units > 0").select("sid", "blocks", "units")
     all_units, n_sources = units.agg(F.sum("units"), F.count(F.lit(1))).first()
@@ -98,8 +102,8 @@ def _schedule(sources: DataFrame, block: int, max_passes: int) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("stretch")) - F.col("n")
     placed = placed.join(counts.select("sid", "stretch", before.alias("before")), ["sid", "stretch"])
     rank = F.row_number().over(Window.partitionBy("sid", "stretch").orderBy("slot")) - 1 + F.col("before")
-    placed = placed.withColumn("rank", rank).filter(F.col("rank") < max_passes * F.col("blocks"))
-    return placed.groupBy("sid", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
+    placed = placed.withColumn("rank", rank).filter(F.col("rank") < F.col("blocks"))
+    return placed.groupBy("sid", F.col("rank").alias("block")).agg(F.count(F.lit(1)).alias("times"))
 
 
 def mix_sources(
@@ -118,7 +122,7 @@ def mix_sources(
     sources = settle(_targets(_sources(sized, weights), max_passes), "mix-targets")
     n_docs, words = sized.agg(F.count(F.lit(1)), F.sum("size")).first()
     block = max(1, min(block_words, (words or 0) // MIN_SLOTS))
-    times = _schedule(sources, block, max_passes)
+    times = _schedule(sources, block)
 
     # Place of each document in its source's stream.
     parts = max(1, math.isqrt(n_docs))
@@ -138,18 +142,19 @@ def mix_sources(
     spans = rows.filter("size > 0").select(*cols, "sid", "start", F.explode(F.sequence(first, last)).alias("block"))
     inside = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     spans = spans.withColumn("inside", inside).join(times, ["sid", "block"], "left")
-    taken = F.sum(F.col("inside") * F.coalesce(F.col("times"), F.lit(0))).cast("long").alias("taken")
+    taken = F.sum(F.col("inside") * (F.coalesce(F.col("times"), F.lit(0)) + _passes())).cast("long").alias("taken")
     return spans.groupBy("sid", "start", *cols).agg(taken).select(*cols, "taken").unionByName(none)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken.
 
-    Words are taken by blocks, so at most one document of a source is taken in part; it counts as whole from half on.
+    Words are taken by blocks, so the schedule takes the first and last document of a stretch in part; such a part counts
+    as a whole copy from half on, and a document that is taken at all stays at least once.
     """
     marks = [F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.length(F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in docs.columns]
     key = F.md5(F.concat(*marks))
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    times = F.when(F.col("size") > 0, F.greatest(F.round(F.col("taken") / F.col("size")), F.least(F.col("taken"), F.lit(1)))).otherwise(0).cast("int")
     taken = mix_sources(docs, key=key).groupBy(F.col("key").alias("_taken")).agg(F.sum(times).cast("int").alias("_times")).filter("_times > 0")
     # Rows with one key agree in every column.
     rows = docs.select(key.alias("_key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")).groupBy("_key").agg(F.first("row").alias("row"))
@@ -175,19 +180,19 @@ lv AS (SELECT (total - held)::DOUBLE / rest AS level FROM s2 WHERE 3 * z / w >=
 s3 AS (SELECT s2.*, least((3 * z)::DOUBLE, coalesce((SELECT level FROM lv), 1e300) * w) AS target,
               greatest(1, least(256, total::BIGINT // 65536)) AS b FROM s2),
 s4 AS (SELECT *, ceil(z / b)::BIGINT AS n,
-              CASE WHEN z > 0 THEN floor((floor(target / z) * ceil(z / b) + (target - floor(target / z) * z) / b) * 1000 + 0.5)::BIGINT
-                   ELSE 0 END AS u FROM s3),
+              CASE WHEN z > 0 THEN floor(target / z)::BIGINT ELSE 0 END AS f,
+              CASE WHEN z > 0 THEN floor((target - floor(target / z) * z) / least(b, z) * 1000 + 0.5)::BIGINT ELSE 0 END AS u FROM s3),
 s5 AS (SELECT *, sum(u) OVER (ORDER BY sid)::BIGINT AS hi, (sum(u) OVER ())::BIGINT AS v FROM s4),
 sl AS (SELECT j, ((v::HUGEINT * ((j::HUGEINT * 2504730781961) % 4052739537881)) // 4052739537881)::BIGINT AS pt
        FROM (SELECT v, unnest(range(0, ceil(v / 1000)::BIGINT)) AS j FROM (SELECT max(v) AS v FROM s5) a) t),
 pl AS (SELECT sl.j, s5.sid, s5.n FROM sl JOIN s5 ON sl.pt >= s5.hi - s5.u AND sl.pt < s5.hi),
 rk AS (SELECT sid, n, row_number() OVER (PARTITION BY sid ORDER BY j) - 1 AS r FROM pl),
-tm AS (SELECT sid, r % n AS blk, count(*) AS times FROM rk WHERE r < 3 * n GROUP BY 1, 2),
-o AS (SELECT doc_id, size, sid, z, target, b,
+tm AS (SELECT sid, r AS blk, count(*) AS times FROM rk WHERE r < n GROUP BY 1, 2),
+o AS (SELECT doc_id, size, sid, z, target, b, f,
              sum(size) OVER (PARTITION BY sid ORDER BY ord, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
       FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
 e AS (SELECT *, unnest(CASE WHEN size > 0 THEN range((start // b)::BIGINT, ((start + size - 1) // b + 1)::BIGINT) ELSE [0] END) AS blk FROM o)
 SELECT doc_id, size, z AS source_size, target,
-       sum(CASE WHEN size = 0 THEN 0 ELSE (least(start + size, (blk + 1) * b) - greatest(start, blk * b)) * coalesce(times, 0) END)::BIGINT AS taken
+       sum(CASE WHEN size = 0 THEN 0 ELSE (least(start + size, (blk + 1) * b) - greatest(start, blk * b)) * (coalesce(times, 0) + f) END)::BIGINT AS taken
 FROM e LEFT JOIN tm USING (sid, blk) GROUP BY doc_id, size, z, target, sid, start
 """

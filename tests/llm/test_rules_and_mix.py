@@ -74,3 +74,20 @@ def test_empty_tables(spark):
     assert judge(none).count() == 0 and mix_sources(none).count() == 0 and mixed_documents(none.select("doc_id", "text", "source")).count() == 0
     nothing = mix_sources(frame(spark, [(1, None, None, None), (2, "", "en", "a")])).collect()
     assert [r["taken"] for r in nothing] == [0, 0]
+
+
+def test_small_sources_get_their_whole_passes(spark):
+    """Sources far smaller than a block, some with a target of three passes, one very large source."""
+    text = " ".join(f"w{k}" for k in range(20))
+    rows = [(k, text, "en", f"s{k:02d}") for k in range(40)] + [(1000 + k, " ".join(["x"] * 2000), "en", "t") for k in range(60)]
+    got = mix_sources(frame(spark, rows)).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n"), F.first("source_size").alias("z")).collect()
+    for r in got:
+        if r["t"] == 3 * r["z"]:
+            assert r["n"] == r["t"]
+        assert abs(r["n"] - r["t"]) <= max(256, r["z"] if r["z"] < 256 else 0)
+    assert sum(r["t"] == 3 * r["z"] for r in got) >= 10
+
+
+def test_a_source_of_one_document_stays_in_the_mix(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(300)), "en", f"s{k}") for k in range(9)]
+    assert {r["source"] for r in mixed_documents(frame(spark, rows)).collect()} == {f"s{k}" for k in range(9)}
