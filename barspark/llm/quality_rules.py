@@ -20,8 +20,8 @@ MAX_REPEAT_PCT = 20
 MAX_SYMBOL_PCT = 10
 MAX_DUP_LINE_PCT = 30
 WINDOW = 5
-#: A host is rejected if more than this share of its documents is expected to fail, and twice the usual share.
-MAX_HOST_RATE = 0.5
+#: A host is rejected if more than this share of its documents is expected to fail, at odds so many times the usual ones.
+MAX_HOST_RATE, WORSE = 0.5, 4
 
 
 def _covered(words: Column) -> Column:
@@ -85,7 +85,8 @@ def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
 
     The prior is Beta(mu * m, (1 - mu) * m), fitted to the mean of the hosts' rates and to their variance without
     what chance alone gives hosts of few documents; m is held between 2 and 1,000,000 where the rates vary more
-    than a beta can, or not at all. A host is rejected above max_rate and above twice the hosts' mean rate.
+    than a beta can, or not at all. A host is rejected above max_rate and where the odds of
+    its rate are more than WORSE times those of the hosts' mean, a bound below 1 whatever the mean.
     """
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("host_failures"))
     rate = F.col("host_failures") / F.col("host_docs")
@@ -94,7 +95,8 @@ def host_verdicts(judged: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFra
     var = (var or 0.0) - mu * (1 - mu) * (chance or 0.0)
     m = min(max(mu * (1 - mu) / var - 1, 2.0), 1e6) if var > 0 else 1e6
     shrunk = (F.col("host_failures") + F.lit(mu * m)) / (F.col("host_docs") + F.lit(m))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk > max(max_rate, 2 * mu))
+    bound = WORSE * mu / (1 + (WORSE - 1) * mu)
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk > max(max_rate, bound))
 
 
 def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -133,6 +135,6 @@ q0 AS (SELECT avg(host_failures / host_docs) AS mu, var_pop(host_failures / host
 q AS (SELECT mu, v - mu * (1 - mu) * c AS v FROM q0),
 g AS (SELECT mu, CASE WHEN v > 0 THEN least(greatest(mu * (1 - mu) / v - 1, 2.0), 1e6) ELSE 1e6 END AS m FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ((host_failures + mu * m) / (host_docs + m) > greatest(0.5, 2 * mu)) AS kept, host_docs, host_failures
+       NOT base_failed AND NOT ((host_failures + mu * m) / (host_docs + m) > greatest(0.5, 4 * mu / (1 + 3 * mu))) AS kept, host_docs, host_failures
 FROM f JOIN h ON f.host IS NOT DISTINCT FROM h.host, g
 """

@@ -33,6 +33,15 @@ def test_a_host_is_judged_by_more_than_the_base_rule(spark):
     assert out.filter("doc_id < 100 and (kept or base_failed)").count() == 0 and out.filter("doc_id >= 100 and not kept").count() == 0
 
 
+def test_worst_host_among_bad_ones(spark):
+    """Where most hosts fail in more than half of their documents, one that always fails is still told apart."""
+    good = lambda k: " ".join(f"w{k}x{j}" for j in range(20))
+    rows = [(1000 * h + k, "short" if k < 60 else good(k), "en", f"h{h}") for h in range(8) for k in range(100)]
+    rows += [(9000 + k, "short" if k < 99 else good(k), "en", "worst") for k in range(100)]
+    verdict = {r["host"]: r["host_rejected"] for r in judge(frame(spark, rows)).select("host", "host_rejected").distinct().collect()}
+    assert verdict.pop("worst") and not any(verdict.values())
+
+
 @pytest.mark.parametrize("query", ["op1", "op3"])
 def test_sql_twin_on_odd_rows(spark, query):
     rows = [r for r in odd_rows() if r[0] is not None]
