@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barspark.functions.study import Study
 from barspark.functions.sizing import levels as level_columns
+from barspark.plans.chunks import CHUNK, CORE, chunked_rows
 from barspark.plans.ladder import first_touch, forward_bars, target_first
 
 # Columns tried for the ATR of a label, and the percent levels used without ATR.
@@ -32,28 +36,36 @@ def require_labels(labelled: DataFrame) -> DataFrame:
     return labelled
 
 
-def _future(bars: DataFrame, min_hold: int, horizon: int) -> tuple[Study, str]:
-    """Study with ATR and the later bars of each row; rows without a full horizon are marked."""
+def first_barrier(close, high, low, atr, sl: float, tp: float, min_hold: int, horizon: int, slippage: float = 0.0) -> np.ndarray:
+    """1 where the target is touched strictly before the stop, for the rows of one series with a full horizon ahead.
+
+    All rows look one bar further at a time, and those that have touched a level drop out.
+    """
+    stop, target = close - atr * sl + slippage, close + atr * tp - slippage
+    won = np.zeros(max(len(close) - horizon, 0), np.int32)
+    going = np.arange(len(won))
+    for k in range(min_hold, horizon + 1):
+        if not len(going):
+            break
+        up, down = high[going + k] >= target[going], low[going + k] <= stop[going]
+        won[going[up & ~down]] = 1
+        going = going[~(up | down)]
+    return won
+
+
+def _by_chunk(bars: DataFrame, horizon: int, keys: Sequence[str], ts: str, chunk_rows: int | None) -> tuple[DataFrame, Callable]:
+    """Rows with ATR in chunks that hold the horizon of each row, and what reads a chunk's arrays."""
     s = Study()
     given = next((c for c in ATR_COLUMNS if c in bars.columns), None)
     atr = given or s.atr(14)
-    s.put("_atr", [atr], lambda line: F.col(atr), keep=True)
-    s.put(
-        "_later",
-        [],
-        lambda line: F.collect_list(F.struct("high", "low")).over(line.between(min_hold, horizon)),
-        ahead=horizon,
-        keep=True,
-    )
-    # A row has a full horizon when the row `horizon` steps ahead exists.
-    s.put("_last", ["close"], lambda line: line.next(F.lit(1), horizon), ahead=horizon, keep=True)
-    return s, "_atr"
+    s.put("_atr", [atr], lambda line: F.col(atr).cast("double"), keep=True)
+    cut = chunked_rows(bars, keys=keys, ts=ts, back=s.back, ahead=horizon, chunk_rows=chunk_rows)
 
+    def arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray]]:
+        pdf = pdf.sort_values(ts, kind="stable", na_position="first")
+        return pdf, [pdf[c].to_numpy(np.float64, na_value=np.nan) for c in ("close", "high", "low", "_atr")]
 
-def _label(sl: Column, tp: Column) -> Column:
-    up = F.array_position(F.transform("_later", lambda b: b["high"] >= tp), F.lit(True))
-    down = F.array_position(F.transform("_later", lambda b: b["low"] <= sl), F.lit(True))
-    return F.coalesce(((up > 0) & ((down == 0) | (up < down))).cast("int"), F.lit(0))
+    return s.on(cut.df, cut.line), arrays
 
 
 def barrier_label(
@@ -70,14 +82,20 @@ def barrier_label(
 ) -> DataFrame:
     """Add ``label``: 1 when the target is touched strictly before the stop within the horizon.
 
-    A tie or a timeout is 0; rows without a full horizon ahead are dropped.
+    A tie or a timeout is 0; rows without a full horizon ahead are dropped. Which level is touched first depends on
+    each row's own levels, so no window function tells it; a chunk is searched with arrays, none of them per row.
     """
     check_label_params(sl, tp, min_hold, horizon)
-    s, atr = _future(bars, min_hold, horizon)
-    ready = s.apply(bars, keys=keys, ts=ts, chunk_rows=chunk_rows).where(F.col("_last").isNotNull())
-    stop = F.col("close") - F.col(atr) * sl + slippage
-    target = F.col("close") + F.col(atr) * tp - slippage
-    return ready.withColumn("label", _label(stop, target)).drop("_atr", "_later", "_last")
+    rows, arrays = _by_chunk(bars, horizon, keys, ts, chunk_rows)
+    out = T.StructType([*bars.schema.fields, T.StructField("label", T.IntegerType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, prices = arrays(pdf)
+        won = first_barrier(*prices, sl, tp, min_hold, horizon, slippage)
+        ready = pdf.iloc[: len(won)].assign(label=won)
+        return ready.loc[ready[CORE], out.fieldNames()]
+
+    return rows.groupBy(*keys, CHUNK).applyInPandas(run, out)
 
 
 def label_sweep(
@@ -90,26 +108,23 @@ def label_sweep(
     ts: str = "ts",
     chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Positive share per (sl, tp) pair; the later bars are gathered once for all pairs."""
+    """Positive share per (sl, tp) pair; a chunk is read once for all pairs."""
     for sl, tp in pairs:
         check_label_params(sl, tp, min_hold, horizon)
-    s, atr = _future(bars, min_hold, horizon)
-    ready = s.apply(bars, keys=keys, ts=ts, chunk_rows=chunk_rows).where(F.col("_last").isNotNull())
-    marks = F.array(
-        *[
-            F.struct(
-                F.lit(float(sl)).alias("sl"),
-                F.lit(float(tp)).alias("tp"),
-                _label(F.col("close") - F.col(atr) * sl, F.col("close") + F.col(atr) * tp).alias("label"),
-            )
-            for sl, tp in pairs
-        ]
-    )
-    return (
-        ready.select(F.explode(marks).alias("_m"))
-        .groupBy("_m.sl", "_m.tp")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("_m.label").alias("positive"), (100.0 * F.avg("_m.label")).alias("positive_pct"))
-    )
+    rows, arrays = _by_chunk(bars.select(*keys, ts, "high", "low", "close", *[c for c in ATR_COLUMNS if c in bars.columns]), horizon, keys, ts, chunk_rows)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, prices = arrays(pdf)
+        lines = []
+        for sl, tp in pairs:
+            won = first_barrier(*prices, sl, tp, min_hold, horizon)
+            own = won[pdf[CORE].to_numpy(bool)[: len(won)]]
+            lines.append((float(sl), float(tp), len(own), int(own.sum())))
+        return pd.DataFrame(lines, columns=["sl", "tp", "n", "positive"])
+
+    counts = rows.groupBy(*keys, CHUNK).applyInPandas(run, "sl double, tp double, n long, positive long")
+    sums = counts.groupBy("sl", "tp").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive")).where("n > 0")
+    return sums.withColumn("positive_pct", 100.0 * F.col("positive") / F.col("n"))
 
 
 def levels(rows: DataFrame, sl: float = 1.0, tp: float = 2.0, *, price: str = "close", atr: str = "atr") -> DataFrame:
