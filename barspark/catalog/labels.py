@@ -11,6 +11,7 @@ from barspark.operators import sequences as SQ
 from barspark.operators import splits as SP
 from barspark.operators.model import RobustScale
 from barspark.operators.quality import newest_rows
+from barspark.session import cut_lineage
 
 _TR = f"""pc AS (SELECT *, lag(close) OVER {O} AS pc FROM h),
   tr AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM pc),
@@ -256,7 +257,7 @@ def _newest(spark, d):
     "value",
 )
 def _scale(spark, d):
-    seq = SQ.sequence(hourly(spark, d), ["close"], 6)
+    seq = cut_lineage(SQ.sequence(hourly(spark, d), ["close"], 6))
     return RobustScale.fit(seq).apply(seq).select("symbol", "ts", F.posexplode("features").alias("pos", "value"))
 
 

@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from barspark.functions.sizing import confidence, levels
 from barspark.operators.bars import latest_bars, rollup_bars
 from barspark.operators.features import FeatureFlags, m5_features
 from barspark.operators.sequences import sequence, sequence_names
-from barspark.plans.scan import exact_quantiles
+from barspark.plans.select import vector_quantiles
 
 # Parameter profiles of the boosted trees.
 PROFILES: dict[str, dict[str, float]] = {
@@ -56,20 +57,18 @@ class RobustScale:
         """Fit on training rows. A zero range scales by 1, so rare 0/1 columns keep their signal.
 
         ``accuracy`` switches to a sketch per position (rank error 1/accuracy) that is merged map-side;
-        without it the quantiles are exact.
+        without it the quantiles are exact, from a few passes over ``train``, which should be a written table.
         """
+        if not accuracy:
+            a, b, c = vector_quantiles(train, col, [0.25, 0.5, 0.75]).T
+            scale = np.where(c - a > 0, c - a, 1.0)
+            # A position without a value stays null.
+            center = [None if np.isnan(x) else float(x) for x in b]
+            return RobustScale(train.sparkSession.createDataFrame([((center, scale.tolist()),)], "s struct<center: array<double>, scale: array<double>>"))
         long = train.select(F.posexplode(col).alias("pos", "value"))
-        if accuracy:
-            q = long.groupBy("pos").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("q")).select(
-                "pos", F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"), F.get("q", F.lit(2)).alias("c")
-            )
-        else:
-            found = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["pos"])
-
-            def at(p: float) -> Column:
-                return F.max(F.when(F.col("prob") == p, F.col("q")))
-
-            q = found.groupBy("pos").agg(at(0.25).alias("a"), at(0.5).alias("b"), at(0.75).alias("c"))
+        q = long.groupBy("pos").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], accuracy).alias("q")).select(
+            "pos", F.get("q", F.lit(0)).alias("a"), F.get("q", F.lit(1)).alias("b"), F.get("q", F.lit(2)).alias("c")
+        )
         spread = F.col("c") - F.col("a")
         rows = q.select("pos", F.col("b").alias("center"), F.when(spread > 0, spread).otherwise(1.0).alias("scale"))
         # As many entries as the vector has positions.
