@@ -41,17 +41,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """The folder of this application's written steps."""
+    return f"{ensure_checkpoint_dir(spark)}/barspark-{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back.
 
-    Lost executors then replay nothing of the past, and the table keeps columnar pruning and sizes.
+    Lost executors then replay nothing of the past, and the table keeps columnar pruning and sizes. Results read the
+    table when they are used, so it stays until ``clear_written`` or the cluster removes it.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/barspark-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (from file sizes; no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def clear_written(spark: SparkSession) -> None:
+    """Delete the steps this application has written. Call it when no result that was made from them is used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,7 +14,7 @@ from barspark.operators import metrics as M
 from barspark.operators import trades as K
 from barspark.plans import steps
 from barspark.plans.series import IDX, LEN, STRETCH, cut_series
-from barspark.session import cut_lineage
+from barspark.session import clear_written, cut_lineage
 from tests.conftest import same, to_pandas, to_spark, walk
 
 
@@ -130,3 +130,20 @@ def test_late_exit_over_very_many_stretches(spark):
     before = steps.entry_states(cut_lineage(solved), [rows.schema["symbol"]]).toPandas().set_index("at")["free"]
     assert len(before) == 10_000 and before[0] == steps.NEVER
     assert (before[2:9995] == 60 * 19_990).all() and before[9999] == 60 * 19_998
+
+
+def test_empty_tables(spark):
+    empty = to_spark(spark, walk(5, 1)).limit(0).withColumn("exit_ts", F.col("ts")).withColumn("pnl", F.col("close"))
+    assert K.non_overlapping(empty, max_per_day=2).count() == 0
+    assert K.trade_equity(empty).count() == 0 and K.equity_curve(empty, empty).count() == 0
+    assert K.compound_trades(empty.withColumnsRenamed({"open": "entry_price", "close": "exit_price"}), F.lit(0.1)).count() == 0
+
+
+def test_written_steps_can_be_cleared(spark, bars):
+    from pathlib import Path
+
+    kept = cut_lineage(bars.limit(3))
+    folder = Path(kept.inputFiles()[0].removeprefix("file:")).parents[1]
+    assert folder.name == f"barspark-{spark.sparkContext.applicationId}" and folder.exists()
+    clear_written(spark)
+    assert not folder.exists()
