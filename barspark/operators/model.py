@@ -113,6 +113,8 @@ def train_gbt(
 ) -> GBTClassificationModel:
     """Boosted trees with a validation stop. ``validation`` is a boolean column of held-out rows.
 
+    Trees are added until the loss on the held-out rows rises; with the small steps of the profiles, a stop at a least
+    gain would end after the first trees.
     L1/L2 terms, gamma and the step bound of the profiles have no counterpart in Spark ML and are left out.
     """
     p = tree_params(profile, overrides)
@@ -127,6 +129,7 @@ def train_gbt(
         featureSubsetStrategy=str(share) if share < 1 else "all",
         minInstancesPerNode=max(1, int(p["min_child_weight"])),
         seed=seed,
+        validationTol=0.0,
     )
     if weight:
         gbt = gbt.setWeightCol(weight)

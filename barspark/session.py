@@ -41,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def _run_folder(spark: SparkSession) -> str:
+def run_folder(spark: SparkSession) -> str:
     """The folder of this application's written steps."""
     return f"{ensure_checkpoint_dir(spark)}/barspark-{spark.sparkContext.applicationId}"
 
@@ -53,12 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     table when they are used, so it stays until ``clear_written`` or the cluster removes it.
     """
     spark = df.sparkSession
-    path = f"{_run_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_written(spark: SparkSession) -> None:
     """Delete the steps this application has written. Call it when no result that was made from them is used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barspark.operators.bars import OHLCV
 from barspark.operators.quality import dedup_bars, require_valid, validate_bars, with_values
+from barspark.session import cut_lineage
 
 # Date layout of bar files, and the layouts tried on foreign ones, in order.
 BAR_DATE = "yyyy.MM.dd HH:mm"
@@ -119,42 +120,74 @@ def number(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, ",", "."), " ", "").try_cast("double")
 
 
-def parse_ts_any(df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS, out: str = "ts") -> DataFrame:
-    """Parse with the first format that reads every row (one counting job); else row by row."""
+def parse_ts_any(
+    df: DataFrame, col: str, formats: Sequence[str] = DATE_FORMATS, out: str = "ts", *, by: str | None = None
+) -> DataFrame:
+    """Parse with the first format that reads every row of a group (``by``; else of the frame), else row by row.
+
+    One aggregate keeps, per group, the set of formats that failed somewhere as bits. A group in which no date can be
+    read is an error.
+    """
     text = F.trim(F.col(col))
-    misses = df.agg(*[F.count_if(_ntz(text, f).isNull()).alias(f"m{i}") for i, f in enumerate(formats)]).first()
-    good = next((f for i, f in enumerate(formats) if misses[f"m{i}"] == 0), None)
-    if good is not None:
-        return df.withColumn(out, _ntz(text, good))
-    parsed = df.withColumn(out, F.coalesce(*[_ntz(text, f) for f in formats], text.try_cast("timestamp_ntz")))
-    if not parsed.where(F.col(out).isNotNull()).limit(1).count():
-        raise ValueError(f"no date in column {col} could be read")
-    return parsed
+    tries = [_ntz(text, f) for f in formats]
+    any_of = F.coalesce(*tries, text.try_cast("timestamp_ntz"))
+    failed = F.lit(0).cast("long")
+    for i, t in enumerate(tries):
+        failed = failed.bitwiseOR(F.when(t.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    group = F.col(by) if by else F.lit("")
+    # One row per group, looked at here and joined below.
+    seen = cut_lineage(df.groupBy(group.alias("_group")).agg(F.bit_or(failed).alias("_failed"), F.count(any_of).alias("_read")))
+    unread = seen.where(F.col("_read") == 0).first()
+    if unread is not None:
+        raise ValueError(f"no date in column {col} could be read{': ' + str(unread['_group']) if by else ''}")
+    parsed = any_of
+    for i, t in reversed(list(enumerate(tries))):
+        parsed = F.when(F.col("_failed").bitwiseAND(F.lit(1 << i).cast("long")) == 0, t).otherwise(parsed)
+    joined = df.withColumn("_g", group).join(seen, F.col("_g").eqNullSafe(F.col("_group")))
+    return joined.withColumn(out, parsed).drop("_g", "_group", "_failed", "_read")
+
+
+_LAYOUT = "sep string, header string, date array<int>, cells map<string, int>"
+
+
+def file_layouts(lines: DataFrame) -> DataFrame:
+    """(file, layout), one row per file of text lines (file, line, value), from its first line that is not blank."""
+    first = lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "line").alias("value"))
+    detect = F.udf(lambda text: (lambda x: (x.sep, x.header, list(x.date), x.cells))(detect_layout(text)), _LAYOUT)
+    return first.select("file", detect("value").alias("layout"))
 
 
 def normalize_bars(spark: SparkSession, path: str, symbol: str, *, layout: Layout | None = None) -> DataFrame:
-    """Bars from a foreign text file; missing columns are null, missing volume is 0."""
-    lines = spark.read.text(path)
+    """Bars from foreign text files; missing columns are null, missing volume is 0.
+
+    Each file has its own separator, header, column order and date format, found from its own lines; ``layout`` holds
+    for all files. Files without a line give no rows; no line at all is an error.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), _line().alias("line"), "value")
     if layout is None:
-        first = lines.limit(1).first()
-        if first is None:
+        layouts = cut_lineage(file_layouts(lines))
+        if layouts.isEmpty():
             raise ValueError(f"empty file: {path}")
-        layout = detect_layout(first[0])
-    body = lines.where(F.trim("value") != "")
-    if layout.header is not None:
-        body = body.where(F.trim("value") != layout.header.strip())
-    cells = F.split(F.trim("value"), layout.sep)
-
-    def cell(i: int) -> Column:
-        return F.trim(F.get(cells, F.lit(i)))
-
-    date = F.concat_ws(" ", *[cell(i) for i in layout.date])
-    cols = {
-        c: number(cell(layout.cells[c])) if c in layout.cells else F.lit(None).cast("double") for c in OHLCV
-    }
-    shaped = body.select(F.lit(symbol).alias("symbol"), date.alias("_date"), *[v.alias(c) for c, v in cols.items()])
+        body = lines.join(layouts, "file")
+    else:
+        pairs = [F.lit(x) for pair in layout.cells.items() for x in pair]
+        given = F.struct(
+            F.lit(layout.sep).alias("sep"),
+            F.lit(layout.header).cast("string").alias("header"),
+            F.array(*[F.lit(i) for i in layout.date]).alias("date"),
+            (F.create_map(*pairs) if pairs else F.create_map().cast("map<string, int>")).alias("cells"),
+        )
+        body = lines.withColumn("layout", given)
+    header = F.trim("layout.header")
+    body = body.where((F.trim("value") != "") & (header.isNull() | (F.trim("value") != header)))
+    body = body.withColumn("cells", F.split(F.trim("value"), F.col("layout.sep")))
+    # A position past the end of a line is a missing cell.
+    date = F.array_join(F.transform("layout.date", lambda i: F.trim(F.get(F.col("cells"), i))), " ")
+    values = {c: number(F.trim(F.get("cells", F.try_element_at("layout.cells", F.lit(c))))) for c in OHLCV}
+    shaped = body.select("file", F.lit(symbol).alias("symbol"), date.alias("_date"), *[v.alias(c) for c, v in values.items()])
     shaped = shaped.withColumn("volume", F.floor(F.coalesce("volume", F.lit(0.0))).cast("double"))
-    return parse_ts_any(shaped, "_date").select("symbol", "ts", *OHLCV).where(F.col("ts").isNotNull())
+    dated = parse_ts_any(shaped, "_date", by="file")
+    return dated.select("symbol", "ts", *OHLCV).where(F.col("ts").isNotNull())
 
 
 def read_tab_export(spark: SparkSession, path: str, symbol: str) -> DataFrame:

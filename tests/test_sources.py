@@ -75,6 +75,27 @@ def test_foreign_layouts(spark, tmp_path, text, first):
     assert got.open.iloc[0] == first and got.volume.iloc[0] == 3 and got.volume.notna().all()
 
 
+def test_each_file_has_its_own_layout(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n \nDate;Time;O;H;L;C;Vol\n03.02.2024;10:00;1,5;2;1;1,7;3\n05.02.2024;10:01;1;2;1;1;\n")
+    (tmp_path / "b.txt").write_text("v|close|low|high|open|datetime\n4|1.7|1|2|1.25|02/13/2024 10:00\n5|1|1|2|1|02/03/2024 10:00\n")
+    (tmp_path / "c.txt").write_text("2024-03-02 10:00 1.5 2 1 1.7 0\n2024-03-02 10:01:30 1 2 1 1 4\n2024-03-02 10:02 7\n")
+    (tmp_path / "d.txt").write_text("")
+    got = to_pandas(B.normalize_bars(spark, str(tmp_path / "*.txt"), "A")).sort_values("ts")
+    # 02/03/2024 is read with the format of its own file, month first, though day first reads it as well.
+    assert [str(t) for t in got.ts] == [
+        "2024-02-03 10:00:00", "2024-02-03 10:00:00", "2024-02-05 10:01:00", "2024-02-13 10:00:00",
+        "2024-03-02 10:00:00", "2024-03-02 10:01:30", "2024-03-02 10:02:00",
+    ]
+    assert sorted(got.open) == [1.0, 1.0, 1.0, 1.25, 1.5, 1.5, 7.0] and sorted(got.volume) == [0.0, 0.0, 0.0, 3.0, 4.0, 4.0, 5.0]
+    given = B.normalize_bars(spark, str(tmp_path / "b.txt"), "A", layout=B.detect_layout("v|close|low|high|open|datetime"))
+    assert given.count() == 2
+    (tmp_path / "e.txt").write_text("Date;O;H;L;C\nnever;1;2;1;1\n")
+    with pytest.raises(ValueError, match="e.txt"):
+        B.normalize_bars(spark, str(tmp_path / "*.txt"), "A")
+    with pytest.raises(ValueError, match="empty"):
+        B.normalize_bars(spark, str(tmp_path / "d.txt"), "A")
+
+
 def test_mixed_dates_fall_back_per_row(spark):
     df = spark.createDataFrame([("2024-01-02 10:00",), ("02.01.2024 11:00",), ("?",)], "d string")
     got = [r["ts"] for r in B.parse_ts_any(df, "d").collect()]
