@@ -51,12 +51,20 @@ def _line() -> Column:
 
 
 def read_bars(
-    spark: SparkSession, path: str, symbol: str, years: Sequence[int] | None = None, *, strict: bool = True, sep: str = ";"
+    spark: SparkSession,
+    path: str,
+    symbol: str,
+    years: Sequence[int] | None = None,
+    *,
+    strict: bool = True,
+    sep: str = ";",
+    rules: bool = True,
 ) -> DataFrame:
     """Yearly bar files: drop bad dates, validate, keep the first row of a repeated timestamp.
 
     ``years`` keeps files whose name ends in ``_YYYY``. ``strict`` raises on rule breaks (one counting
-    job over the files); otherwise such rows are left out.
+    job over the files); otherwise such rows are left out. ``rules=False`` is for series that are no prices and may be
+    zero or below: rows that break the price rules stay, and only lines without a date or numbers are dropped.
     """
     names = ["Date", "Open", "High", "Low", "Close", "Volume"]
     raw = spark.read.schema(", ".join(f"{n} STRING" for n in names)).csv(path, sep=sep, header=True, mode="PERMISSIVE")
@@ -73,9 +81,9 @@ def read_bars(
         *[F.trim(n).alias(n.lower()) for n in names[1:]],
         "line",
     ).where(F.col("ts").isNotNull())
-    checked = validate_bars(bars)
+    checked = validate_bars(bars, rules=rules)
     if strict:
-        require_valid(checked.report)
+        require_valid(checked.report, rules=rules)
     return dedup_bars(checked.clean, "first").drop("line")
 
 

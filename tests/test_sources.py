@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -51,6 +52,22 @@ def test_strict_load_rejects_rule_breaks(spark, tmp_path):
     assert B.read_bars(spark, str(tmp_path), "A", strict=False).count() == 1
 
 
+def test_round_trip_of_hours_that_break_price_rules(spark, tmp_path):
+    """Hours with a value of zero or below come back; the query failed on the first one."""
+    from barspark.catalog import CATALOG
+
+    values = [1.5, 0.0, 3.0, -0.0, -2.25, 4.0, 5.0]
+    rows = [(k, datetime(2024, 1, 1) + timedelta(minutes=25 * k), "click", v) for k, v in enumerate(values)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = CATALOG["bar_file_round_trip"].build(spark, str(tmp_path)).orderBy("ts").collect()
+    assert [tuple(r[c] for c in OHLCV) for r in got] == [(1.5, 3.0, 0.0, 3.0, 3.0), (0.0, 0.0, -2.25, -2.25, 2.0), (4.0, 5.0, 4.0, 5.0, 2.0)]
+    B.write_bars_csv(events.selectExpr("ts", *[f"value AS {c}" for c in OHLCV[:4]], "1.0 AS volume"), str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="n_nonpositive_price = 3"):
+        B.read_bars(spark, str(tmp_path / "out"), "A")
+    assert B.read_bars(spark, str(tmp_path / "out"), "A", strict=False).count() == 4
+
+
 def test_by_year(spark, frame, tmp_path):
     B.write_bars_by_year(to_spark(spark, frame), str(tmp_path / "y"))
     assert sorted(p.name for p in (tmp_path / "y").glob("year=*")) == ["year=2024", "year=2025"]
