@@ -45,28 +45,24 @@ SAMPLES, CLASSES = 3, 4
 REPEATS = {0: 64, 4: 96}
 #: Bits of the two tables (1 MB each).
 TABLE_BITS = 1 << 23
-CACHE = 500_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Which bytes stand in words, and factors by the place in a word (again from the first after so many).
+IN_WORD = np.array([WORD.match(bytes([b])) is not None for b in range(256)])
+FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Windows walked over at a time, so that their walks stay in a core's cache.
+WALKED = 1 << 9
 
 
-def words_in(text: str | None) -> list[bytes]:
+def lowered(text: str | None) -> bytes:
+    """The text in lower case, letters of scripts without blanks set apart."""
     text = (text or "").lower()
     if not text.isascii():
         text = UNSPACED.sub(r" \g<0> ", text)
-    return WORD.findall(text.encode("utf-8", "surrogatepass"))
-
-
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    return text.encode("utf-8", "surrogatepass")
 
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word, 7) | 1  # 0 stands for no word
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def words_in(text: str | None) -> list[bytes]:
+    return WORD.findall(lowered(text))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -74,6 +70,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of a prepared text, never 0: sums of bytes times the factors of their places in the word."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = IN_WORD[raw]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edges):
+        return np.empty(0, np.uint64)
+    sizes = edges[1::2] - edges[::2]
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    sums = np.add.reduceat(FACTORS[place % len(FACTORS)] * raw[inside[1:-1]], first)
+    return mixed(mixed(sums + sizes.astype(np.uint64))) | np.uint64(1)  # 0 stands for no word
+
+
 def triples(h: np.ndarray) -> np.ndarray:
     return mixed(mixed(mixed(h[:-2]) ^ h[1:-1]) ^ h[2:]) if len(h) > 2 else np.empty(0, np.uint64)
 
@@ -123,7 +134,9 @@ def walk_keys(h: np.ndarray, starts: np.ndarray, c: int) -> np.ndarray:
         word = h[at]
         take = (sampled == step).any(axis=1)
         keys[take] = mixed(keys[take] ^ word[take])
-        at += (((word ^ seeds[:, step : step + 1]) * MIX) >> np.uint64(63)).astype(np.int64)
+        word ^= seeds[:, step : step + 1]
+        word *= MIX
+        at += word.view(np.int64) < 0  # the highest bit says whether the walk goes on
     return mixed(keys).T
 
 
@@ -155,14 +168,14 @@ def prepared(items: DataFrame) -> DataFrame:
     a match may have before and after where a piece begins), hashes of the pieces' word triples, and keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHash()
         for rows in batches:
             out = []
             for item, text in zip(rows["item_id"], rows["text"], strict=True):
-                words = words_in(text)
+                data = lowered(text)
+                words, h = WORD.findall(data), word_hashes(data)
+                n = len(words)
                 if not words:
                     continue
-                n, h = len(words), hashes.of(words)
                 if n < MIN_WORDS:
                     parts, threes, keys = [(-n, 0, n)], [], [run_keys(h, n)]
                 else:
@@ -195,7 +208,7 @@ def suspects(docs: DataFrame, reach: dict[int, tuple[int, int]], triple_bits: np
     pad = max([len(walks(c)[0][0]) for c in shapes], default=0) + max(spans.values(), default=0) + 1
     least = min([need for _, _, need in shapes.values()], default=0)
 
-    def stretches(rows: list[tuple], lists: list[list[bytes]], h: list[np.ndarray], hit: list[np.ndarray]) -> Iterator[tuple]:
+    def stretches(rows: list[tuple], texts: list[bytes], h: list[np.ndarray], hit: list[np.ndarray]) -> Iterator[tuple]:
         begin = np.cumsum([0] + [len(x) + pad for x in h])
         flat = np.concatenate([np.concatenate((x, np.zeros(pad, np.uint64))) for x in h])
         seen = np.zeros(len(flat) + 1, np.int64)
@@ -210,8 +223,8 @@ def suspects(docs: DataFrame, reach: dict[int, tuple[int, int]], triple_bits: np
         for c, (_, _, need) in shapes.items():
             upto = np.minimum(np.arange(len(flat)) + spans[c] - 2, len(flat))
             starts = np.flatnonzero(seen[np.maximum(upto, np.arange(len(flat)))] - seen[:-1] >= need)
-            for k in range(0, len(starts), 1 << 14):
-                part = starts[k : k + (1 << 14)]
+            for k in range(0, len(starts), WALKED):
+                part = starts[k : k + WALKED]
                 keys = walk_keys(flat, part, c)
                 at, rep = np.nonzero(in_table(key_bits, keys))
                 found.append(np.stack((part[at], part[at] - reach[c][0], part[at] + reach[c][1], keys[at, rep].view(np.int64))))
@@ -224,14 +237,15 @@ def suspects(docs: DataFrame, reach: dict[int, tuple[int, int]], triple_bits: np
         at, doc = at[:, order], doc[order]
         upto = np.maximum.accumulate(at[2])  # documents follow each other
         cut = np.concatenate(([0], np.flatnonzero((at[1][1:] > upto[:-1]) | (doc[1:] != doc[:-1])) + 1, [at.shape[1]]))
+        last, words = -1, []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             d = int(doc[a])
+            if d != last:
+                last, words = d, WORD.findall(texts[d])
             lo, hi = int(at[1][a] - begin[d]), int(upto[b - 1] - begin[d])
-            yield (*rows[d], lo, b" ".join(lists[d][lo:hi]).decode("utf-8", "surrogatepass"), np.unique(at[3][a:b]))
+            yield (*rows[d], lo, b" ".join(words[lo:hi]).decode("utf-8", "surrogatepass"), np.unique(at[3][a:b]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHash()
-
         def framed(kept: list[tuple]) -> pd.DataFrame:
             frame = pd.DataFrame(list(stretches(*map(list, zip(*kept, strict=True)))) if kept else [], columns=["doc_id", "tie", "at", "words", "keys"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
@@ -240,12 +254,12 @@ def suspects(docs: DataFrame, reach: dict[int, tuple[int, int]], triple_bits: np
         for batch in batches:
             kept, size = [], 0
             for i, tie, text in zip(batch["doc_id"], batch["tie"].tolist(), batch["text"], strict=True):
-                words = words_in(text)
-                h = hashes.of(words)
+                data = lowered(text)
+                h = word_hashes(data)
                 hit = in_table(triple_bits, triples(h))
-                if words and (short or (shapes and hit.sum() >= least)):
-                    kept.append(((None if pd.isna(i) else int(i), tie), words, h, hit))
-                    size += len(words)
+                if len(h) and (short or (shapes and hit.sum() >= least)):
+                    kept.append(((None if pd.isna(i) else int(i), tie), data, h, hit))
+                    size += len(h)
                 if size > 1 << 20:
                     yield framed(kept)
                     kept, size = [], 0
@@ -275,6 +289,12 @@ def best_place(item: list[str], text: list[str]) -> tuple[int, int]:
     return best, end
 
 
+def may_hold(item: list[str], text: list[str]) -> bool:
+    """Whether enough words of an item stand somewhere in a text; each that does not costs an edit."""
+    there = set(text)
+    return sum(w not in there for w in item) <= allowed(len(item))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, tie, item_id, edits, n_words, first_word): the best match of each item in each document that holds it.
 
@@ -293,7 +313,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            got = [best_place(i.split(" "), t.split(" ")) for i, t in zip(rows["words"], rows["text"], strict=True)]
+            both = [(i.split(" "), t.split(" ")) for i, t in zip(rows["words"], rows["text"], strict=True)]
+            may = np.array([may_hold(i, t) for i, t in both], bool)
+            got = [best_place(*x) for x, m in zip(both, may, strict=True) if m]
+            rows = rows[may]
             out = rows[["doc_id", "tie", "item_id", "n_words"]].copy()
             out["edits"] = [g[0] for g in got]
             out["first_word"] = [a + max(0, g[1] - n) for g, a, n in zip(got, rows["at"], rows["n_words"], strict=True)]

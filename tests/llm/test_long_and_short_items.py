@@ -39,3 +39,31 @@ def test_short_items_and_scripts_without_blanks(spark):
     rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
     found = dc.find_leaks(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in found) == [(0, 1, 0), (2, 2, 0), (4, 3, 0), (5, 3, 1), (6, 4, 0)]
+
+
+def test_word_hashes_follow_the_words():
+    """One hash a word, the same wherever the word stands, none for a text without words."""
+    rng = random.Random(4)
+    texts = ["", " -- ", None, "a", "A b a", "x" * 9000 + " " + "x" * 9001, "naïve Ünit 漢字かな ไทย mixed漢end", "\ud800 lone"]
+    texts += [" ".join(rng.choice(["ab", "ba", "a", "b0", "0b", "é", "漢", "...", "ab,ba"]) for _ in range(60)) for _ in range(40)]
+    seen = {}
+    for text in texts:
+        words, hashes = dc.words_in(text), dc.word_hashes(dc.lowered(text)).tolist()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes, strict=True):
+            assert h and seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 15
+
+
+def test_only_places_with_enough_words_are_compared_in_full():
+    """A stretch that lacks too many of an item's words is left out, and none that holds it."""
+    rng = random.Random(5)
+    pool, left_out = [f"w{k}" for k in range(40)], 0
+    for _ in range(600):
+        item = [rng.choice(pool) for _ in range(rng.choice([3, 7, 8, 15, 40]))]
+        part = [w for w in item if rng.random() > 0.1]
+        text = [rng.choice(pool) for _ in range(20)] + rng.choice([part, part[: len(part) // 2], []]) + [rng.choice(pool) for _ in range(5)]
+        held = dc.best_place(item, text)[0] <= dc.allowed(len(item))
+        assert dc.may_hold(item, text) or not held
+        left_out += not dc.may_hold(item, text)
+    assert left_out > 100
