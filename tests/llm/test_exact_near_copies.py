@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from barspark.llm import near_copies as nc
 from barspark.llm.simhash_dedup import keep_one, near_copy_print
 from tests.llm.texts import classes, frame, lower, odd_rows, prose, words
@@ -73,3 +75,45 @@ def test_added_cut_and_changed_passages_are_joined(spark):
         assert len(ks) >= 50 and sum(got[2 * k + 1] == 2 * k for k in ks) >= 0.99 * len(ks)
     near = {k for ks in pairs.values() for k in ks}
     assert all(got[2 * k + 1] == 2 * k + 1 for k in range(300) if k not in near)
+
+
+def test_fingerprints_alone_find_near_copies(spark):
+    """Without a key of the bands: the pigeonhole search finds copies with changed words, and only similar ones are linked."""
+    rng, rows, pairs = random.Random(6), [], []
+    for k in range(120):
+        w = prose(rng, rng.randint(60, 400)).split()
+        v = list(w)
+        if k % 3 == 0:
+            v += prose(rng, len(w) // 20).split()
+        elif k % 3 == 1:
+            del v[: len(w) // 20]
+        else:
+            for _ in range(max(1, len(w) // 100)):
+                v[rng.randrange(len(v))] = "edited"
+        rows += [(2 * k, " ".join(w), "en", "s"), (2 * k + 1, " ".join(v), "en", "s")]
+        pairs += [k] * (likeness(plain_set(rows[-1][1]), plain_set(rows[-2][1])) >= 0.8)
+    rows += [(1000 + k, f"few words {k // 2}" + " " * k, "en", "s") for k in range(6)] + [(1010, "", "en", "s"), (1011, None, "en", "s")]
+    docs = frame(spark, rows)
+    sketches = nc.sketches(docs).cache()
+    nodes = sketches.groupBy("node").agg(*(F.first(c).alias(c) for c in ("tie", *nc.SKETCH)))
+    name = {r["doc_id"]: bytes(r["node"]) for r in sketches.collect()}
+    text = {v: k for k, v in name.items()}
+    found = nc.exact_links(docs, nodes.withColumn("keys", F.array().cast("array<long>"))).collect()
+    got = {tuple(sorted(text[bytes(r[c])] for c in "ab")) for r in found}
+    wanted = {(2 * k, 2 * k + 1) for k in pairs}
+    assert got <= wanted and len(got) >= 0.9 * len(wanted) and len(wanted) > 100
+
+
+def test_one_fingerprint_for_several_sets(spark):
+    """Texts of the same words and fingerprints but different shingle sets are candidates of each other."""
+    w = [f"w{k}" for k in range(3000)]
+    rows = [(0, " ".join(w), "en", "s")]
+    for k in range(1, 40):
+        v = list(w)
+        v[70 * k], v[70 * k + 1] = v[70 * k + 1], v[70 * k]
+        rows.append((k, " ".join(v), "en", "s"))
+    nodes = nc.sketches(frame(spark, rows)).withColumns({"c0": F.lit(5).cast("long"), "c1": F.lit(6).cast("long")}).cache()
+    assert nodes.select("node").distinct().count() == 40 and nodes.select("fp").distinct().count() == 1
+    got = nc.close_prints(nodes).collect()
+    least = min(bytes(r["node"]) for r in nodes.collect())
+    assert len(got) == 39 and all(bytes(r["a"]["node"]) == least < bytes(r["b"]["node"]) for r in got)
